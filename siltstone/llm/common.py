@@ -128,3 +128,28 @@ def columns_of(batch: pa.RecordBatch, *names: str) -> list[list]:
 def read_bytes(path: str) -> bytes:
     with io.open(path, "rb") as f:
         return f.read()
+
+
+class Memo(dict):
+    """What `make` gave for the keys asked for lately: most entries or fewer of this generation, as many of the
+    one before. Only a cache: any key is made anew when asked for again."""
+
+    def __init__(self, make: Callable, most: int):
+        super().__init__()
+        self.make, self.most, self.old = make, most, {}
+
+    def __missing__(self, key):
+        found = self.old.get(key)
+        if found is None:
+            found = self.make(key)
+        self[key] = found
+        return found
+
+    def turn(self) -> None:
+        if len(self) > self.most:
+            self.old = dict(self)
+            self.clear()
+
+
+#: Encoders that a Python worker keeps from task to task, by what made them.
+KEPT: dict = {}
