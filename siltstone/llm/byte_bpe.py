@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import base64
 import heapq
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -22,11 +23,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, read_bytes, text_of
+from .common import KEPT, Memo, arrow_map, read_bytes, text_of
 from .mph import PerfectHash
 
-#: Pre-tokens whose ids a worker remembers; beyond it, it forgets all and begins anew.
-MEMO = 400_000
+#: Words, and pre-tokens, whose ids a worker remembers, twice at most.
+MEMO = 300_000
+#: Fixed value: the pattern that splits at single spaces and line feeds as encode() says.
+LOCAL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
 def load_ranks(blob: bytes) -> dict[bytes, int]:
@@ -43,7 +46,9 @@ class ByteBPE:
         for i, w in zip(at.tolist(), self.words):
             self.slots[i] = (w, ranks[w])
         self.bytes_of = {i: w for w, i in ranks.items()}
-        self.memo: dict[str, bytes] = {}
+        self.pieces, self.words, self.firsts = Memo(self._piece, MEMO), Memo(self._word, MEMO), Memo(self._first, MEMO // 10)
+        self.local = pattern == LOCAL
+        self.feed = self._split("\n")
 
     def merge(self, piece: bytes) -> list[int]:
         """The heap over linked bytes."""
@@ -72,25 +77,46 @@ class ByteBPE:
             i = end[i]
         return out
 
-    def learn(self, pieces: list[str]) -> None:
-        raw = [p.encode("utf-8", "surrogatepass") for p in pieces]
-        at = self.hash.lookup(np.array([xxhash.xxh3_64_intdigest(x) for x in raw], np.uint64))
-        for piece, x, i in zip(pieces, raw, at.tolist()):
-            word, rank = self.slots[i] if i >= 0 else (b"", -1)
-            ids = [rank] if word == x else self.merge(x)
-            self.memo[piece] = np.array(ids, "<i4").tobytes()
+    def _piece(self, piece: str) -> bytes:
+        """A pre-token's ids, little-endian."""
+        raw = piece.encode("utf-8", "surrogatepass")
+        i = self.hash.place(xxhash.xxh3_64_intdigest(raw))
+        word, rank = self.slots[i] if i >= 0 else (b"", -1)
+        return np.array([rank] if word == raw else self.merge(raw), "<i4").tobytes()
+
+    def _split(self, text: str) -> bytes:
+        return b"".join(map(self.pieces.__getitem__, self.pattern.findall(text)))
+
+    def _word(self, word: str) -> bytes | None:
+        """The ids of a space and a word; None if white space at its ends might join what is outside."""
+        return None if not word or word[0].isspace() or word[-1].isspace() else self._split(" " + word)
+
+    def _first(self, word: str) -> bytes | None:
+        return None if not word or word[0].isspace() or word[-1].isspace() else self._split(word)
+
+    def encode(self, text: str) -> bytes:
+        """Pre-tokens never reach over a single space or a single line feed between two characters that aren't
+        white space, but for the space itself, which begins the next one. Texts with other white space between
+        words are split whole."""
+        if self.local:
+            out, get = [], self.words.__getitem__
+            for line in text.split("\n"):
+                first, *words = line.split(" ")
+                out.append(self.firsts[first])
+                out += map(get, words)
+                out.append(self.feed)
+            out.pop()
+            if None not in out:
+                return b"".join(out)
+        return self._split(text)
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian 32-bit numbers."""
         out = []
         for text in texts:
-            pieces = self.pattern.findall(text)
-            if new := set(pieces).difference(self.memo):
-                if len(self.memo) > MEMO:
-                    self.memo.clear()
-                    new = set(pieces)
-                self.learn(list(new))
-            out.append(b"".join(map(self.memo.__getitem__, pieces)))
+            out.append(self.encode(text))
+            for memo in (self.words, self.firsts, self.pieces):
+                memo.turn()
         return out
 
     def decode(self, ids: list[int]) -> bytes:
@@ -102,7 +128,9 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id
     blob = docs.sparkSession.sparkContext.broadcast(read_bytes(vocabulary))  # a fixed file of under 1 MB
 
     def run(batches):
-        bpe = ByteBPE(load_ranks(blob.value), pattern)
+        if (key := ("bpe", zlib.crc32(blob.value), pattern)) not in KEPT:
+            KEPT[key] = ByteBPE(load_ranks(blob.value), pattern)
+        bpe = KEPT[key]
         for b in batches:
             for k in range(0, b.num_rows, 500):
                 part = b.slice(k, 500)

@@ -7,6 +7,7 @@ import io
 import numpy as np
 
 _ODD = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)  # splitmix64's constants
+_FULL = (1 << 64) - 1
 
 
 def mix(keys: np.ndarray, seed: int) -> np.ndarray:
@@ -45,6 +46,22 @@ class PerfectHash:
             rest = rest[~alone]
         self.base, self.rest = base, np.sort(rest)
 
+    def place(self, key: int) -> int:
+        """lookup() of one key, without arrays."""
+        for level, (places, words, ranks) in enumerate(self.levels):
+            z = (key + _ODD[0] * (level + 1)) & _FULL
+            z = ((z ^ (z >> 30)) * _ODD[1]) & _FULL
+            z = ((z ^ (z >> 27)) * _ODD[2]) & _FULL
+            at = (z ^ (z >> 31)) % places
+            held = int(words[at >> 6])
+            if held >> (at & 63) & 1:
+                return int(ranks[at >> 6]) + (held & ((1 << (at & 63)) - 1)).bit_count()
+        if len(self.rest):
+            at = int(np.searchsorted(self.rest, np.uint64(key)))
+            if at < len(self.rest) and int(self.rest[at]) == key:
+                return self.base + at
+        return -1
+
     def lookup(self, keys: np.ndarray) -> np.ndarray:
         keys = np.ascontiguousarray(keys, dtype=np.uint64)
         out = np.full(len(keys), -1, np.int64)
