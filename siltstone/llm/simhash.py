@@ -88,9 +88,9 @@ def exact_tables(bits: int, radius: int) -> list[list[int]]:
 
 
 def random_tables(bits: int, radius: int, rows: int, recall: float, seed: int = 1) -> list[list[int]]:
-    """As many tables as find a link at `radius` with probability `recall`, each of so many bits that unlike codes
-    rarely meet: a rule of the number of rows, the same at every size."""
-    take = min(max(10, math.ceil(math.log2(max(2, rows))) - 2), bits // 4)
+    """As many tables as find a link at `radius` with probability `recall`, each of so many bits that about 2^7
+    unlike codes meet in a bucket: a rule of the number of rows, the same at every size."""
+    take = min(max(8, math.ceil(math.log2(max(2, rows))) - 7), bits // 4)
     alike = math.prod((bits - radius - i) / (bits - i) for i in range(take))
     count = math.ceil(math.log(1 - recall) / math.log(1 - alike))
     rng = np.random.default_rng(seed)

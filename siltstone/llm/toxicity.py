@@ -1,17 +1,18 @@
 """Toxicity by cumulative-link ordinal regression.
 
-Severity has ordered grades: 0 not toxic, 1 toxic, 2 toxic and of low quality besides. One weight per word serves all
+Severity has ordered grades: 0 not toxic, 1 toxic, 2 severe. The labels say toxic or not; of the toxic documents that
+the model is fitted on, the severe ones are the half that holds the most of what tells them from others. One weight per word serves all
 thresholds: P(grade > k) = 1 / (1 + exp(threshold[k] - score)), with score the weighted sum over the words of a text
 of 1 + log(count). The expected severity is the sum of these probabilities.
 
 The model is fitted on a bounded sample of the labelled rows: of each toxicity label, the SAMPLE rows whose
-identifiers hash lowest, weighted so that the labels count as they do in all rows. Of their words, those in at least
-MIN_DOCS documents compete, and the FEATURES whose presence tells most about the label are used. Only this sample
+identifiers hash lowest, weighted so that the labels count as they do in all rows. Of their features, those in at least
+MIN_DOCS documents that are TIMES as frequent in toxic ones compete, and the FEATURES that tell most are used. Only this sample
 reaches the driver. Every row and the whole text is scored.
 
-Words are the runs of letters, digits and non-ASCII characters, A-Z lower-cased. Null text counts as empty, scored by
-the thresholds alone. Labels that are null, or of documents that aren't there, are left out; a null quality counts as
-not low. Repeated labels count once each. If a class is missing from the labels, no word is evidence and nothing is
+Words are the runs of letters, digits and non-ASCII characters, A-Z lower-cased; besides whole words, stems of
+STEMS characters are features, for insults that are inflected. Null text counts as empty, scored by
+the thresholds alone. Labels that are null, or of documents that aren't there, are left out. Repeated labels count once each. If a class is missing from the labels, no word is evidence and nothing is
 toxic. Repeated rows are scored row by row; an empty table gives an empty one. All columns of the input are kept;
 severity, grade, p_toxic and toxic replace columns of those names.
 """
@@ -27,38 +28,57 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, ship, text_of
+from .common import Memo, arrow_map, ship, text_of
 
-SAMPLE, FEATURES, MIN_DOCS, GRADES = 4000, 2000, 5, 3
+SAMPLE, FEATURES, MIN_DOCS, GRADES = 4000, 400, 4, 3
+#: A feature must be so many times as frequent in toxic documents as in others.
+TIMES = 4
+#: Weight of the squared weights against the mean loss.
+L2 = 1e-5
+#: Lengths of stems, in characters.
+STEMS = (4, 5, 6, 7)
 
 _TABLE = bytes(c + 32 if 0x41 <= c <= 0x5A else c if 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A or c >= 0x80 else 0x20 for c in range(256))
 
 
+def words_of(text: str | None) -> list[str]:
+    return (text or "").encode("utf-8", "surrogatepass").translate(_TABLE).decode("utf-8", "surrogatepass").split()
+
+
+def features_of(word: str) -> tuple[str, ...]:
+    """A word, and its stems: its first characters, marked by a star."""
+    return (word, *[word[:k] + "*" for k in STEMS if len(word) >= k])
+
+
 def counts_of(text: str | None) -> Counter:
-    return Counter((text or "").encode("utf-8", "surrogatepass").translate(_TABLE).split())
+    return Counter(f for w in words_of(text) for f in features_of(w))
 
 
 @dataclass
 class Model:
-    weights: dict[bytes, float]
+    weights: dict[str, float]
     thresholds: np.ndarray
+    #: A worker's own: what it knows of the words it met.
+    memo: Memo | None = None
+
+    def _known(self, word: str) -> tuple[str, ...]:
+        return tuple(f for f in features_of(word) if f in self.weights)
 
     def score(self, text: str | None) -> float:
-        words = (text or "").encode("utf-8", "surrogatepass").translate(_TABLE).split()
-        known = self.weights.keys() & set(words)
-        if not known:
-            return 0.0
-        counts = Counter(w for w in words if w in known)
-        return float(sum(self.weights[w] * (1 + np.log(n)) for w, n in sorted(counts.items())))
+        if self.memo is None:
+            self.memo = Memo(self._known, 200_000)
+        counts = Counter(f for known in map(self.memo.__getitem__, words_of(text)) if known for f in known)
+        self.memo.turn()
+        return float(sum(self.weights[f] * (1 + np.log(n)) for f, n in sorted(counts.items())))
 
     def above(self, score: np.ndarray) -> np.ndarray:
         """P(grade > k) by k."""
         return 1 / (1 + np.exp(np.clip(self.thresholds[None, :] - score[:, None], -60, 60)))
 
 
-def fit(rows: list[dict[bytes, int]], grade: np.ndarray, weight: np.ndarray, grades: int = GRADES, features: int = FEATURES, min_docs: int = MIN_DOCS, l2: float = 1e-3, steps: int = 300) -> Model:
-    grade, weight = np.asarray(grade), np.asarray(weight, float)
-    toxic = grade > 0
+def fit(rows: list[dict[str, int]], toxic: np.ndarray, weight: np.ndarray, features: int = FEATURES, min_docs: int = MIN_DOCS, l2: float = L2, steps: int = 300) -> Model:
+    toxic, weight = np.asarray(toxic, bool), np.asarray(weight, float)
+    grades = GRADES
     if not toxic.any() or toxic.all():
         return Model({}, np.full(grades - 1, 30.0))
     weight = weight / weight.sum()
@@ -68,12 +88,13 @@ def fit(rows: list[dict[bytes, int]], grade: np.ndarray, weight: np.ndarray, gra
         if t:
             bad.update(r.keys())
     n, n_bad = len(rows), int(toxic.sum())
-    tell: dict[bytes, float] = {}
+    tell: dict[str, float] = {}
     for w, c in seen.items():
         if c >= min_docs:
             a, rest = bad[w], c - bad[w]
             p, q = (a + 0.5) / (n_bad + 1), (rest + 0.5) / (n - n_bad + 1)
-            tell[w] = abs(np.log(p / q)) / np.sqrt(1 / (a + 0.5) + 1 / (rest + 0.5))
+            if p >= TIMES * q:
+                tell[w] = np.log(p / q) / np.sqrt(1 / (a + 0.5) + 1 / (rest + 0.5))
     words = sorted(sorted(tell, key=lambda w: (-tell[w], w))[:features])
     place = {w: i for i, w in enumerate(words)}
     owner, column, value = [], [], []
@@ -83,6 +104,8 @@ def fit(rows: list[dict[bytes, int]], grade: np.ndarray, weight: np.ndarray, gra
                 owner.append(i), column.append(k), value.append(1 + np.log(c))
     owner, column, value = np.array(owner, int), np.array(column, int), np.array(value, float)
     m = len(words)
+    evidence = np.bincount(owner, np.array([tell[w] for w in words])[column] * value if m else value, minlength=n)
+    grade = toxic.astype(int) + (toxic & (evidence >= max(np.median(evidence[toxic]), 1e-9)))
     share = [max(1e-6, float(weight[grade > k].sum())) for k in range(grades - 1)]
     # thresholds: the first, and the logarithms of the steps between them, which keeps them in order
     first = np.log((1 - share[0]) / share[0])
@@ -104,7 +127,7 @@ def fit(rows: list[dict[bytes, int]], grade: np.ndarray, weight: np.ndarray, gra
             d_theta[k] += (-weight * slope[:, k + 1] / p)[grade == k].sum()
             d_theta[k] += (weight * slope[:, k + 1] / p)[grade == k + 1].sum()
         grad = np.zeros_like(x)
-        grad[:m] = np.bincount(column, value * d_score[owner], minlength=m) + l2 * w / n**0.5
+        grad[:m] = np.bincount(column, value * d_score[owner], minlength=m) + l2 * w
         grad[m] = d_theta.sum()
         for k in range(1, grades - 1):
             grad[m + k] = d_theta[k:].sum() * jumps[k - 1]
@@ -115,27 +138,27 @@ def fit(rows: list[dict[bytes, int]], grade: np.ndarray, weight: np.ndarray, gra
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> Model:
-    """labels: id_col, toxic, quality."""
-    marked = labels.filter("toxic is not null").select(F.col(id_col).alias("__id"), F.when(F.col("toxic") == 0, 0).when(F.coalesce("quality", F.lit(1)) == 0, 2).otherwise(1).alias("grade"))
-    total = {bool(r.t): r.n for r in marked.groupBy((F.col("grade") > 0).alias("t")).agg(F.count("*").alias("n")).collect()}
+    """labels: id_col, toxic."""
+    marked = labels.filter("toxic is not null").select(F.col(id_col).alias("__id"), (F.col("toxic") != 0).alias("bad"))
+    total = {bool(r.t): r.n for r in marked.groupBy(F.col("bad").alias("t")).agg(F.count("*").alias("n")).collect()}
     picked = None
-    for side in (F.col("grade") > 0, F.col("grade") == 0):
-        part = marked.filter(side).orderBy(F.xxhash64("__id"), "__id", "grade").limit(sample)
+    for side in (F.col("bad"), ~F.col("bad")):
+        part = marked.filter(side).orderBy(F.xxhash64("__id"), "__id").limit(sample)
         picked = part if picked is None else picked.unionByName(part)
     chosen = docs.select(F.col(id_col), text_of(text_col).alias("text")).join(F.broadcast(picked), F.col(id_col) == F.col("__id"))
 
     def run(batches):
         for b in batches:
             found = [counts_of(t) for t in b.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(1).cast(pa.int32()), pa.array([list(c) for c in found], pa.list_(pa.binary())), pa.array([list(c.values()) for c in found], pa.list_(pa.int32()))], names=["grade", "words", "counts"])
+            yield pa.RecordBatch.from_arrays([b.column(1), pa.array([list(c) for c in found], pa.list_(pa.string())), pa.array([list(c.values()) for c in found], pa.list_(pa.int32()))], names=["bad", "words", "counts"])
 
-    taken = arrow_map(chosen.select("text", "grade"), run, "grade int, words array<binary>, counts array<int>").toArrow().to_pydict()
+    taken = arrow_map(chosen.select("text", "bad"), run, "bad boolean, words array<string>, counts array<int>").toArrow().to_pydict()
     rows = [dict(zip(w, c)) for w, c in zip(taken["words"], taken["counts"])]
-    grade = np.array(taken["grade"], int)
-    held = {t: max(1, int(((grade > 0) == t).sum())) for t in (False, True)}
-    order = sorted(range(len(rows)), key=lambda i: (int(grade[i]), sorted(rows[i].items())[:20]))  # as rows come in any order
-    weight = np.array([total.get(bool(grade[i] > 0), 0) / held[bool(grade[i] > 0)] for i in order])
-    return fit([rows[i] for i in order], grade[order], weight)
+    bad = np.array(taken["bad"], bool)
+    held = {t: max(1, int((bad == t).sum())) for t in (False, True)}
+    order = sorted(range(len(rows)), key=lambda i: (bool(bad[i]), sorted(rows[i].items())[:20]))  # as rows come in any order
+    weight = np.array([total.get(bool(bad[i]), 0) / held[bool(bad[i])] for i in order])
+    return fit([rows[i] for i in order], bad[order], weight)
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
