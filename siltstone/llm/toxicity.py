@@ -7,8 +7,8 @@ of 1 + log(count). The expected severity is the sum of these probabilities.
 
 The model is fitted on a bounded sample of the labelled rows: of each toxicity label, the SAMPLE rows whose
 identifiers hash lowest, weighted so that the labels count as they do in all rows. Of their features, those in at least
-MIN_DOCS documents that are TIMES as frequent in toxic ones compete, and the FEATURES that tell most are used. Only this sample
-reaches the driver. Every row and the whole text is scored.
+MIN_DOCS documents that are TIMES as frequent in toxic ones compete, and the FEATURES that tell most are used. Only their counts in
+the sample reach the driver. Every row and the whole text is scored.
 
 Words are the runs of letters, digits and non-ASCII characters, A-Z lower-cased; besides whole words, stems of
 STEMS characters are features, for insults that are inflected. Null text counts as empty, scored by
@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, arrow_map, ship, text_of
+from .common import Memo, arrow_map, materialize, ship, text_of
 
 SAMPLE, FEATURES, MIN_DOCS, GRADES = 4000, 400, 4, 3
 #: A feature must be so many times as frequent in toxic documents as in others.
@@ -76,35 +76,15 @@ class Model:
         return 1 / (1 + np.exp(np.clip(self.thresholds[None, :] - score[:, None], -60, 60)))
 
 
-def fit(rows: list[dict[str, int]], toxic: np.ndarray, weight: np.ndarray, features: int = FEATURES, min_docs: int = MIN_DOCS, l2: float = L2, steps: int = 300) -> Model:
-    toxic, weight = np.asarray(toxic, bool), np.asarray(weight, float)
-    grades = GRADES
+def fit(words: list[str], tell: list[float], owner: np.ndarray, column: np.ndarray, count: np.ndarray, toxic: np.ndarray, weight: np.ndarray, l2: float = L2, steps: int = 300) -> Model:
+    """words: the features, tell: how much each tells; owner, column, count: document, feature and how often."""
+    toxic, weight, grades = np.asarray(toxic, bool), np.asarray(weight, float), GRADES
     if not toxic.any() or toxic.all():
         return Model({}, np.full(grades - 1, 30.0))
-    weight = weight / weight.sum()
-    seen, bad = Counter(), Counter()
-    for r, t in zip(rows, toxic.tolist()):
-        seen.update(r.keys())
-        if t:
-            bad.update(r.keys())
-    n, n_bad = len(rows), int(toxic.sum())
-    tell: dict[str, float] = {}
-    for w, c in seen.items():
-        if c >= min_docs:
-            a, rest = bad[w], c - bad[w]
-            p, q = (a + 0.5) / (n_bad + 1), (rest + 0.5) / (n - n_bad + 1)
-            if p >= TIMES * q:
-                tell[w] = np.log(p / q) / np.sqrt(1 / (a + 0.5) + 1 / (rest + 0.5))
-    words = sorted(sorted(tell, key=lambda w: (-tell[w], w))[:features])
-    place = {w: i for i, w in enumerate(words)}
-    owner, column, value = [], [], []
-    for i, r in enumerate(rows):
-        for w, c in r.items():
-            if (k := place.get(w)) is not None:
-                owner.append(i), column.append(k), value.append(1 + np.log(c))
-    owner, column, value = np.array(owner, int), np.array(column, int), np.array(value, float)
+    weight, n = weight / weight.sum(), len(toxic)
+    owner, column, value = np.asarray(owner, int), np.asarray(column, int), 1 + np.log(np.asarray(count, float))
     m = len(words)
-    evidence = np.bincount(owner, np.array([tell[w] for w in words])[column] * value if m else value, minlength=n)
+    evidence = np.bincount(owner, np.array(tell)[column] * value if m else value, minlength=n)
     grade = toxic.astype(int) + (toxic & (evidence >= max(np.median(evidence[toxic]), 1e-9)))
     share = [max(1e-6, float(weight[grade > k].sum())) for k in range(grades - 1)]
     # thresholds: the first, and the logarithms of the steps between them, which keeps them in order
@@ -134,7 +114,7 @@ def fit(rows: list[dict[str, int]], toxic: np.ndarray, weight: np.ndarray, featu
         mean, var = 0.9 * mean + 0.1 * grad, 0.999 * var + 0.001 * grad**2
         x = x - 0.1 * (mean / (1 - 0.9**step)) / (np.sqrt(var / (1 - 0.999**step)) + 1e-9)
     theta = np.concatenate([[x[m]], x[m] + np.cumsum(np.exp(x[m + 1 :]))])
-    return Model({w: float(x[i]) for w, i in place.items()}, theta)
+    return Model({w: float(x[i]) for i, w in enumerate(words)}, theta)
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> Model:
@@ -145,20 +125,46 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     for side in (F.col("bad"), ~F.col("bad")):
         part = marked.filter(side).orderBy(F.xxhash64("__id"), "__id").limit(sample)
         picked = part if picked is None else picked.unionByName(part)
-    chosen = docs.select(F.col(id_col), text_of(text_col).alias("text")).join(F.broadcast(picked), F.col(id_col) == F.col("__id"))
+    chosen = docs.select(F.col(id_col).alias("__doc"), text_of(text_col).alias("text")).join(F.broadcast(picked), F.col("__doc") == F.col("__id"))
+    chosen = materialize(chosen.select(F.monotonically_increasing_id().alias("no"), "text", "bad"), "toxicity-sample")
+    held = {r.bad: r.n for r in chosen.groupBy("bad").agg(F.count("*").alias("n")).collect()}
+    if len(held) < 2:
+        return Model({}, np.full(GRADES - 1, 30.0))
+    top = _telling(chosen, held).collect()
+    words, place = [r.feature for r in top], {r.feature: i for i, r in enumerate(top)}
+
+    def cells(batches):
+        for b in batches:
+            found = [{place[f]: n for f, n in counts_of(t).items() if f in place} for t in b.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(1), pa.array([list(c) for c in found], pa.list_(pa.int32())), pa.array([list(c.values()) for c in found], pa.list_(pa.int32())), b.column(2)], names=["no", "place", "count", "bad"])
+
+    taken = arrow_map(chosen.select("text", "no", "bad"), cells, "no long, place array<int>, count array<int>, bad boolean").toPandas()
+    taken = taken.sort_values("no")
+    owner = np.repeat(np.arange(len(taken)), taken["place"].map(len))
+    bad = taken["bad"].to_numpy(bool)
+    weight = np.where(bad, total.get(True, 0) / held[True], total.get(False, 0) / held[False])
+    joined = lambda c: np.concatenate([*taken[c], np.zeros(0, int)])
+    return fit(words, [r.tell for r in top], owner, joined("place"), joined("count"), bad, weight)
+
+
+def _telling(chosen: DataFrame, held: dict[bool, int]) -> DataFrame:
+    """feature, tell: of the features that are much more frequent in toxic documents, the FEATURES that tell most."""
 
     def run(batches):
         for b in batches:
-            found = [counts_of(t) for t in b.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(1), pa.array([list(c) for c in found], pa.list_(pa.string())), pa.array([list(c.values()) for c in found], pa.list_(pa.int32()))], names=["bad", "words", "counts"])
-
-    taken = arrow_map(chosen.select("text", "bad"), run, "bad boolean, words array<string>, counts array<int>").toArrow().to_pydict()
-    rows = [dict(zip(w, c)) for w, c in zip(taken["words"], taken["counts"])]
-    bad = np.array(taken["bad"], bool)
-    held = {t: max(1, int((bad == t).sum())) for t in (False, True)}
-    order = sorted(range(len(rows)), key=lambda i: (bool(bad[i]), sorted(rows[i].items())[:20]))  # as rows come in any order
-    weight = np.array([total.get(bool(bad[i]), 0) / held[bool(bad[i])] for i in order])
-    return fit([rows[i] for i in order], bad[order], weight)
+            seen, toxic = Counter(), Counter()
+            for t, bad in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                own = counts_of(t).keys()
+                seen.update(own)
+                if bad:
+                    toxic.update(own)
+            yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64()), pa.array([toxic[f] for f in seen], pa.int64())], names=["feature", "n", "a"])
+
+    counts = arrow_map(chosen.select("text", "bad"), run, "feature string, n long, a long").groupBy("feature").agg(F.sum("n").alias("n"), F.sum("a").alias("a"))
+    in_bad, in_good = F.col("a") + 0.5, F.col("n") - F.col("a") + 0.5
+    ratio = (in_bad / (held[True] + 1)) / (in_good / (held[False] + 1))
+    tell = F.log(ratio) / F.sqrt(1 / in_bad + 1 / in_good)
+    return counts.filter((F.col("n") >= MIN_DOCS) & (ratio >= TIMES)).select("feature", tell.alias("tell")).orderBy(F.desc("tell"), "feature").limit(FEATURES)
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
