@@ -1,4 +1,24 @@
 """The named queries and their SQL."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from ..functions import sqlfront
+from ..sources.tables import TABLES
+from . import corpus
+
+
+def run_sql(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
+    """A query in the engine's dialect over the tables of a folder; leaves no view or setting in the session."""
+    return spark.sql(sqlfront.with_tables(sql, {t: f"{sf_dir}/{t}.parquet" for t in TABLES}))
+
+
+def _of(sql: str) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: run_sql(spark, sf_dir, sql)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: _of(sql) for name, sql in corpus.SQL.items()}
+ORACLE_SQL: dict[str, str] = dict(corpus.SQL)
