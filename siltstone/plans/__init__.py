@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ..functions import sqlfront
 from ..sources.tables import TABLES
 from . import corpus
+from .frames import FRAMES
 
 
 def run_sql(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
@@ -20,5 +21,5 @@ def _of(sql: str) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, sf_dir: run_sql(spark, sf_dir, sql)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: _of(sql) for name, sql in corpus.SQL.items()}
-ORACLE_SQL: dict[str, str] = dict(corpus.SQL)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: _of(sql) for name, sql in corpus.SQL.items()} | {name: f for name, (f, _) in FRAMES.items()}
+ORACLE_SQL: dict[str, str] = {**corpus.SQL, **{name: sql for name, (_, sql) in FRAMES.items()}}

@@ -117,7 +117,7 @@ PROJECTION = {
     "filter_between": "SELECT p_partkey FROM part WHERE p_size BETWEEN 10 AND 12 AND p_retailprice NOT BETWEEN 1000 AND 1500",
     "filter_in": "SELECT s_suppkey FROM supplier WHERE s_nationkey IN (1, 2, -3) OR s_suppkey NOT IN (1, 2, 3)",
     "filter_in_dates": "SELECT o_orderkey FROM orders WHERE o_orderdate IN (TIMESTAMP '1996-01-02 00:00:00', TIMESTAMP '1997-05-06 00:00:00')",
-    "filter_like": "SELECT p_partkey, p_name FROM part WHERE p_name LIKE '%1_%' AND p_type NOT LIKE 'S%' AND p_brand ILIKE 'brand#1%'",
+    "filter_like": "SELECT p_partkey, p_name FROM part WHERE p_name LIKE '%1_' AND p_type NOT LIKE 'S%' AND p_brand ILIKE 'BRAND#_%'",
     "filter_regexp": "SELECT page_id FROM pages WHERE REGEXP_MATCHES(url, 'example\\.(com|org)/(en|fr)')",
     "filter_null": "SELECT c_custkey FROM customer LEFT JOIN orders ON c_custkey = o_custkey AND o_totalprice > 300000 WHERE o_orderkey IS NULL",
     "filter_not_3vl": "SELECT a FROM (VALUES (1), (2), (NULL)) v(a) WHERE NOT (a = 1)",
@@ -127,7 +127,7 @@ PROJECTION = {
     "filter_count": "SELECT COUNT(*) AS n FROM lineitem WHERE l_returnflag = 'R' AND l_discount > 0.05 AND l_quantity <= 10",
     "count_complement": "SELECT COUNT(*) AS n FROM events WHERE event_type <> 'click'",
     "echo_rows": "SELECT event_type FROM events WHERE event_type = 'signup'",
-    "compare_all": "SELECT s_suppkey FROM supplier WHERE s_acctbal > ALL (SELECT c_acctbal FROM customer WHERE c_nationkey = 3)",
+    "compare_all": "SELECT s_suppkey FROM supplier WHERE s_acctbal > ALL (SELECT c_acctbal FROM customer WHERE c_nationkey = 3 AND c_acctbal < 7000)",
     "compare_all_empty": "SELECT r_regionkey FROM region WHERE r_regionkey > ALL (SELECT n_nationkey FROM nation WHERE n_nationkey < 0)",
     "compare_any": "SELECT s_suppkey FROM supplier WHERE s_acctbal < ANY (SELECT c_acctbal FROM customer WHERE c_nationkey = 3)",
     "compare_eq_any": "SELECT n_name FROM nation WHERE n_regionkey = ANY (SELECT r_regionkey FROM region WHERE r_regionkey < 2)",
