@@ -117,7 +117,7 @@ PROJECTION = {
     "filter_between": "SELECT p_partkey FROM part WHERE p_size BETWEEN 10 AND 12 AND p_retailprice NOT BETWEEN 1000 AND 1500",
     "filter_in": "SELECT s_suppkey FROM supplier WHERE s_nationkey IN (1, 2, -3) OR s_suppkey NOT IN (1, 2, 3)",
     "filter_in_dates": "SELECT o_orderkey FROM orders WHERE o_orderdate IN (TIMESTAMP '1996-01-02 00:00:00', TIMESTAMP '1997-05-06 00:00:00')",
-    "filter_like": "SELECT p_partkey, p_name FROM part WHERE p_name LIKE '%1_' AND p_type NOT LIKE 'S%' AND p_brand ILIKE 'BRAND#_%'",
+    "filter_like": "SELECT p_partkey, p_name FROM part WHERE p_name LIKE '%l_e b%' AND p_type NOT LIKE 'S%' AND p_brand ILIKE 'BRAND#1_'",
     "filter_regexp": "SELECT page_id FROM pages WHERE REGEXP_MATCHES(url, 'example\\.(com|org)/(en|fr)')",
     "filter_null": "SELECT c_custkey FROM customer LEFT JOIN orders ON c_custkey = o_custkey AND o_totalprice > 300000 WHERE o_orderkey IS NULL",
     "filter_not_3vl": "SELECT a FROM (VALUES (1), (2), (NULL)) v(a) WHERE NOT (a = 1)",
@@ -262,7 +262,7 @@ SCALARS = {
     "fn_conditional": "SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_tax > 0.05 THEN 'high' WHEN l_tax > 0.02 THEN 'mid' END AS t, COALESCE(NULLIF(l_linenumber, 2), -1) AS n FROM lineitem WHERE l_orderkey < 300",
     "fn_string": "SELECT n_nationkey, LENGTH(n_name) AS l, STRLEN(n_name) AS b, UPPER(n_name) AS u, LOWER(n_name) AS w, TRIM('  ' || n_name || ' ') AS t, SUBSTRING(n_name, 2, 3) AS s, REPLACE(n_name, 'A', 'aa') AS r, n_name || '-' || n_regionkey AS c, CONCAT(n_name, NULL, '!') AS x FROM nation",
     "fn_bytes": "SELECT doc_id, LENGTH(text) AS chars, STRLEN(text) AS bytes FROM documents",
-    "fn_regexp_first": "SELECT p_partkey, REGEXP_REPLACE(p_name, '[0-9]', '#') AS first_only, REGEXP_REPLACE(p_name, '[0-9]', '#', 'g') AS everywhere, REGEXP_REPLACE(p_name, '([A-Za-z]+)', '<\\1>') AS grouped FROM part",
+    "fn_regexp_first": "SELECT p_partkey, REGEXP_REPLACE(p_name, '[aeiou]', '#') AS first_only, REGEXP_REPLACE(p_name, '[aeiou]', '#', 'g') AS everywhere, REGEXP_REPLACE(p_name, '([A-Za-z]+)', '<\\1>') AS grouped FROM part",
     "fn_predicates": "SELECT k, k IS NULL AS a, (k > 2) IS TRUE AS b, k IN (1, 2) AS c, k BETWEEN 2 AND 3 AS d FROM (VALUES (1), (2), (3), (NULL)) v(k)",
     "fn_cast": "SELECT CAST(p_size AS DOUBLE) AS d, CAST(p_partkey AS VARCHAR) AS v, CAST(p_size AS BIGINT) AS b, CAST('2020-02-29' AS DATE) AS e FROM part",
     "date_parts": "SELECT event_id, EXTRACT(YEAR FROM ts) AS y, EXTRACT(QUARTER FROM ts) AS q, EXTRACT(MONTH FROM ts) AS mo, EXTRACT(DAY FROM ts) AS d, EXTRACT(DOW FROM ts) AS dow, EXTRACT(ISODOW FROM ts) AS iso, EXTRACT(DOY FROM ts) AS doy, EXTRACT(WEEK FROM ts) AS w, EXTRACT(HOUR FROM ts) AS h, EXTRACT(MINUTE FROM ts) AS mi, EXTRACT(SECOND FROM ts) AS s FROM events",
