@@ -26,10 +26,10 @@ from .common import KEPT, Memo, arrow_map, read_bytes, text_of
 
 #: Open bins of a task.
 OPEN_BINS = 4096
-#: Pieces that are offered longest first, together.
-LOOK = 20_000
+#: Bytes of ids of the pieces that are offered longest first, together.
+LOOK = 16 << 20
 #: Words whose ids a worker remembers, twice at most.
-MEMO = 300_000
+MEMO = 150_000
 
 
 class BestFit:
@@ -122,6 +122,15 @@ def kept_encoder(blob: bytes) -> WordEncoder:
     return KEPT[key]
 
 
+def rows_of(batches):
+    """(identifier, text, the identifiers' type), a few rows at a time as Python objects."""
+    for b in batches:
+        for k in range(0, b.num_rows, 200):
+            part = b.slice(k, 200)
+            for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                yield doc, text, b.schema.field(0).type
+
+
 def pack(docs: DataFrame, tokenizer: str, sequence: int = 4096, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", open_bins: int = OPEN_BINS, look: int = LOOK) -> DataFrame:
     """One row per piece: id_col, piece int, start long, length long, sequence_id long, offset long, ids binary
     (little-endian unsigned 32-bit, as in a token file). Sequences are at most `sequence` long."""
@@ -141,20 +150,20 @@ def pack(docs: DataFrame, tokenizer: str, sequence: int = 4096, end_id: int = 1,
                 number, offset = bins.place(held[i][3])
                 rows.append((*held[i][:4], high + number, offset, held[i][4]))
             kinds = [kind, pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-            for k in range(0, len(rows), 5000):
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[k : k + 5000]), kinds)], names=names)
+            for k in range(0, len(rows), 500):
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[k : k + 500]), kinds)], names=names)
             held.clear()
 
-        kind = None
-        for b in batches:
-            kind = b.schema.field(0).type
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                ids = encode(text) + end
-                for piece, at in enumerate(range(0, len(ids), 4 * sequence)):
-                    part = ids[at : at + 4 * sequence]
-                    held.append((doc, piece, at // 4, len(part) // 4, part))
-                if len(held) >= look:
-                    yield from emit()
+        kind, size = None, 0
+        for doc, text, kind in rows_of(batches):
+            ids = encode(text) + end
+            size += len(ids)
+            for piece, at in enumerate(range(0, len(ids), 4 * sequence)):
+                part = ids[at : at + 4 * sequence]
+                held.append((doc, piece, at // 4, len(part) // 4, part))
+            if size >= look:
+                yield from emit()
+                size = 0
         if held:
             yield from emit()
 

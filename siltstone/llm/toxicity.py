@@ -66,7 +66,7 @@ class Model:
 
     def score(self, text: str | None) -> float:
         if self.memo is None:
-            self.memo = Memo(self._known, 200_000)
+            self.memo = Memo(self._known, 100_000)
         counts = Counter(f for known in map(self.memo.__getitem__, words_of(text)) if known for f in known)
         self.memo.turn()
         return float(sum(self.weights[f] * (1 + np.log(n)) for f, n in sorted(counts.items())))
