@@ -14,8 +14,9 @@ from .operators import statistics
 from .session import session
 
 
-def emit(df: DataFrame, kind: str, out=sys.stdout) -> None:
+def emit(df: DataFrame, kind: str) -> None:
     """Row by row, so a result need not fit into memory."""
+    out = sys.stdout
     if kind == "table":
         out.write(df._jdf.showString(1000, 60, False))
         return
