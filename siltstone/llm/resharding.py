@@ -106,7 +106,7 @@ def plan(sizes: pd.DataFrame, old_shards: int, capacity: list[int]) -> Plan:
         for (i, j), _ in flow.items():
             if i == old:
                 over[j] = -left[j]
-    blocks = pd.DataFrame(rows, columns=["old", "block", "shard", "n"]).sort_values(["shard", "old", "block"])
+    blocks = pd.DataFrame(rows, columns=["old", "block", "shard", "n"]).astype("int64").sort_values(["shard", "old", "block"])
     blocks["base"] = blocks.groupby("shard")["n"].cumsum() - blocks["n"]
     return Plan(flow, blocks[["old", "block", "shard", "base"]].astype("int64"), int(moved))
 
