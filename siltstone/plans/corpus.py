@@ -277,4 +277,53 @@ SCALARS = {
     "division_by_zero": "SELECT k, 10 / NULLIF(k, 0) AS q, CAST(10 // NULLIF(k, 0) AS BIGINT) AS d, 10 % NULLIF(k, 0) AS m FROM (VALUES (0), (3), (-4)) v(k)",
 }
 
-SQL: dict[str, str] = {**TPCH, **PROJECTION, **JOINS, **SUBQUERIES, **AGGREGATES, **WINDOWS, **ORDER_AND_SETS, **SCALARS}
+H2O = {
+    "h2o_group_q1": "SELECT l_returnflag, ROUND(SUM(l_quantity), 2) AS v1 FROM lineitem GROUP BY l_returnflag",
+    "h2o_group_q2": "SELECT l_returnflag, l_linestatus, ROUND(SUM(l_quantity), 2) AS v1 FROM lineitem GROUP BY l_returnflag, l_linestatus",
+    "h2o_group_q3": "SELECT l_partkey, ROUND(SUM(l_quantity), 2) AS v1, ROUND(AVG(l_extendedprice), 6) AS v3 FROM lineitem GROUP BY l_partkey",
+    "h2o_group_q4": "SELECT l_linenumber, ROUND(AVG(l_quantity), 6) AS v1, ROUND(AVG(l_discount), 6) AS v2, ROUND(AVG(l_extendedprice), 4) AS v3 FROM lineitem GROUP BY l_linenumber",
+    "h2o_group_q5": "SELECT l_suppkey, ROUND(SUM(l_quantity), 2) AS v1, ROUND(SUM(l_tax), 4) AS v2, ROUND(SUM(l_extendedprice), 2) AS v3 FROM lineitem GROUP BY l_suppkey",
+    "h2o_group_q6": "SELECT l_linenumber, l_suppkey, MEDIAN(l_quantity) AS m, ROUND(STDDEV(l_extendedprice), 4) AS s FROM lineitem WHERE l_suppkey < 40 GROUP BY l_linenumber, l_suppkey",
+    "h2o_group_q7": "SELECT l_partkey, MAX(l_quantity) - MIN(l_linenumber) AS r FROM lineitem GROUP BY l_partkey",
+    "h2o_group_q10": "SELECT l_returnflag, l_linestatus, l_linenumber, l_suppkey, l_partkey, ROUND(SUM(l_extendedprice), 2) AS v3, COUNT(*) AS n FROM lineitem GROUP BY l_returnflag, l_linestatus, l_linenumber, l_suppkey, l_partkey",
+    "h2o_join_small": "SELECT ROUND(SUM(l_quantity), 2) AS v1, ROUND(SUM(s_acctbal), 2) AS v2, COUNT(*) AS n FROM lineitem JOIN supplier ON l_suppkey = s_suppkey",
+    "h2o_join_medium": "SELECT ROUND(SUM(l_quantity), 2) AS v1, ROUND(SUM(p_retailprice), 1) AS v2, COUNT(*) AS n FROM lineitem JOIN part ON l_partkey = p_partkey",
+    "h2o_join_left": "SELECT COUNT(*) AS n, COUNT(p_partkey) AS m FROM lineitem LEFT JOIN (SELECT p_partkey FROM part WHERE p_size < 20) p ON l_partkey = p_partkey",
+    "h2o_join_big": "SELECT COUNT(*) AS n, ROUND(SUM(o_totalprice), 0) AS t FROM lineitem JOIN orders ON l_orderkey = o_orderkey",
+}
+
+#: Star joins that return least and greatest strings.
+JOB = {
+    "job_brand_region": "SELECT MIN(p_name) AS part_name, MIN(n_name) AS nation, MAX(o_orderpriority) AS priority FROM lineitem, part, orders, customer, nation, region WHERE l_partkey = p_partkey AND l_orderkey = o_orderkey AND o_custkey = c_custkey AND c_nationkey = n_nationkey AND n_regionkey = r_regionkey AND r_regionkey = 2 AND p_brand IN ('Brand#3', 'Brand#11') AND o_orderstatus = 'O'",
+    "job_supplier_names": "SELECT MIN(s_name) AS first_supplier, MAX(s_name) AS last_supplier FROM supplier, nation, lineitem WHERE s_nationkey = n_nationkey AND l_suppkey = s_suppkey AND n_regionkey <> 1 AND l_discount > 0.09 AND s_acctbal BETWEEN 0 AND 4000",
+    "job_two_nations": "SELECT MIN(c_name) AS c, MIN(s_name) AS s, COUNT(*) AS n FROM customer, orders, lineitem, supplier WHERE c_custkey = o_custkey AND o_orderkey = l_orderkey AND l_suppkey = s_suppkey AND c_nationkey = s_nationkey AND c_mktsegment LIKE 'B%' AND l_returnflag = 'A'",
+    "job_late_parts": "SELECT MIN(p_type) AS t, MAX(p_name) AS p FROM part, lineitem, orders WHERE p_partkey = l_partkey AND l_orderkey = o_orderkey AND l_shipdate > o_orderdate + INTERVAL 80 DAY AND p_size IN (1, 7, 13) AND o_orderpriority NOT LIKE '5%'",
+    "job_empty": "SELECT MIN(p_name) AS p, MAX(c_name) AS c FROM part, lineitem, orders, customer WHERE p_partkey = l_partkey AND l_orderkey = o_orderkey AND o_custkey = c_custkey AND p_size > 9999",
+    "job_count": "SELECT COUNT(*) AS n, ROUND(SUM(l_quantity), 2) AS q, ROUND(AVG(c_acctbal), 6) AS a FROM lineitem, orders, customer, nation, region WHERE l_orderkey = o_orderkey AND o_custkey = c_custkey AND c_nationkey = n_nationkey AND n_regionkey = r_regionkey AND r_regionkey IN (0, 3) AND l_tax < 0.03",
+    "job_self_nation": "SELECT MIN(a.c_name) AS x, MAX(b.c_name) AS y, COUNT(*) AS n FROM customer a, customer b, nation WHERE a.c_nationkey = n_nationkey AND b.c_nationkey = n_nationkey AND a.c_custkey < b.c_custkey AND a.c_acctbal > 9000 AND b.c_acctbal < 0",
+}
+
+#: The shapes of a web analytics board, on events, pages, documents and conversations.
+BOARD = {
+    "board_count_all": "SELECT COUNT(*) AS n FROM events",
+    "board_sum_avg": "SELECT ROUND(SUM(value), 4) AS s, COUNT(*) AS n, ROUND(AVG(user_id), 6) AS a FROM events",
+    "board_distinct": "SELECT COUNT(DISTINCT user_id) AS u, COUNT(DISTINCT props) AS p FROM events",
+    "board_min_max": "SELECT MIN(ts) AS lo, MAX(ts) AS hi FROM events",
+    "board_group_filtered": "SELECT event_type, COUNT(*) AS c FROM events WHERE event_type <> 'view' GROUP BY event_type ORDER BY c DESC, event_type",
+    "board_top_minute": "SELECT EXTRACT(HOUR FROM ts) AS h, EXTRACT(MINUTE FROM ts) AS m, COUNT(*) AS c FROM events GROUP BY h, m ORDER BY c DESC, h, m LIMIT 10",
+    "board_by_minute": "SELECT DATE_TRUNC('minute', ts) AS m, COUNT(*) AS c FROM events WHERE ts >= TIMESTAMP '2024-01-14 00:00:00' AND ts < TIMESTAMP '2024-01-16 00:00:00' GROUP BY DATE_TRUNC('minute', ts) ORDER BY m LIMIT 10 OFFSET 100",
+    "board_like_count": "SELECT COUNT(*) AS c FROM pages WHERE url LIKE '%example.org%'",
+    "board_like_top": "SELECT SUBSTRING(url, 1, 12) AS head, MIN(url) AS first_url, COUNT(*) AS c FROM pages WHERE url LIKE '%/en/%' AND html NOT LIKE '%no such text%' GROUP BY head ORDER BY c DESC, head LIMIT 10",
+    "board_length": "SELECT lang, ROUND(AVG(LENGTH(text)), 4) AS l, COUNT(*) AS c FROM documents GROUP BY lang HAVING COUNT(*) > 5 ORDER BY l DESC",
+    "board_shifted_keys": "SELECT user_id, user_id - 1 AS a, user_id - 2 AS b, user_id - 3 AS c, COUNT(*) AS n FROM events GROUP BY user_id, user_id - 1, user_id - 2, user_id - 3 ORDER BY n DESC, user_id LIMIT 10",
+    "board_case_source": "SELECT CASE WHEN event_type = 'click' THEN props ELSE '' END AS src, COUNT(*) AS n FROM events WHERE user_id < 40 GROUP BY src ORDER BY n DESC, src LIMIT 10",
+    "board_order_text": "SELECT props FROM events WHERE event_type = 'purchase' ORDER BY props, event_id LIMIT 10",
+    "board_order_time": "SELECT event_id FROM events WHERE value > 10 ORDER BY ts, event_id LIMIT 10",
+    "board_top_text_pair": "SELECT user_id, props, COUNT(*) AS c FROM events WHERE props <> '' GROUP BY user_id, props ORDER BY c DESC, user_id, props LIMIT 10",
+    "board_mixed": "SELECT user_id, COUNT(*) AS c, ROUND(SUM(value), 4) AS s, ROUND(AVG(LENGTH(props)), 4) AS a FROM events WHERE event_type IN ('view', 'click') GROUP BY user_id ORDER BY c DESC, user_id LIMIT 10",
+    "board_first_turns": "SELECT role, COUNT(*) AS n, COUNT(DISTINCT conv_id) AS k FROM conversations GROUP BY role",
+    "board_conversation_length": "SELECT n, COUNT(*) AS c FROM (SELECT conv_id, COUNT(*) AS n FROM conversations GROUP BY conv_id) t GROUP BY n",
+    "board_point": "SELECT event_id, user_id, ts FROM events WHERE user_id = 17",
+}
+
+SQL: dict[str, str] = {**TPCH, **PROJECTION, **JOINS, **SUBQUERIES, **AGGREGATES, **WINDOWS, **ORDER_AND_SETS, **SCALARS, **H2O, **JOB, **BOARD}
