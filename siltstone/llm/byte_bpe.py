@@ -14,7 +14,9 @@ from __future__ import annotations
 
 import base64
 import heapq
+import sys
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +29,7 @@ from .common import KEPT, Memo, arrow_map, read_bytes, text_of
 from .mph import PerfectHash
 
 #: Words, and pre-tokens, whose ids a worker remembers, twice at most.
-MEMO = 300_000
+WORDS, PIECES = 200_000, 400_000
 #: Fixed value: the pattern that splits at single spaces and line feeds as encode() says.
 LOCAL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -46,9 +48,8 @@ class ByteBPE:
         for i, w in zip(at.tolist(), self.words):
             self.slots[i] = (w, ranks[w])
         self.bytes_of = {i: w for w, i in ranks.items()}
-        self.pieces, self.words, self.firsts = Memo(self._piece, MEMO), Memo(self._word, MEMO), Memo(self._first, MEMO // 10)
+        self.pieces, self.words = Memo(lambda p: None, PIECES), Memo(lambda w: None, WORDS)
         self.local = pattern == LOCAL
-        self.feed = self._split("\n")
 
     def merge(self, piece: bytes) -> list[int]:
         """The heap over linked bytes."""
@@ -77,47 +78,78 @@ class ByteBPE:
             i = end[i]
         return out
 
-    def _piece(self, piece: str) -> bytes:
-        """A pre-token's ids, little-endian."""
-        raw = piece.encode("utf-8", "surrogatepass")
-        i = self.hash.place(xxhash.xxh3_64_intdigest(raw))
-        word, rank = self.slots[i] if i >= 0 else (b"", -1)
-        return np.array([rank] if word == raw else self.merge(raw), "<i4").tobytes()
+    def _learn(self, pieces: list[str]) -> None:
+        """Fills the memo of pre-tokens: the perfect hash for all at once, the heap for those it misses."""
+        raw = [p.encode("utf-8", "surrogatepass") for p in pieces]
+        at = self.hash.lookup(np.array([xxhash.xxh3_64_intdigest(x) for x in raw], np.uint64))
+        slots, own, merge = self.slots, self.pieces, self.merge
+        for piece, x, i in zip(pieces, raw, at.tolist()):
+            word, rank = slots[i] if i >= 0 else (b"", -1)
+            ids = array("i", (rank,) if word == x else merge(x))
+            if sys.byteorder == "big":
+                ids.byteswap()
+            own[piece] = ids.tobytes()
+
+    def _join(self, split: list[list[str]]) -> list[bytes]:
+        """The ids of lists of pre-tokens."""
+        if fresh := set().union(*split).difference(self.pieces):
+            old = self.pieces.old
+            for p in [p for p in fresh if p in old]:
+                self.pieces[p] = old[p]
+                fresh.discard(p)
+            self._learn(list(fresh))
+        get = self.pieces.__getitem__
+        return [b"".join(map(get, x)) for x in split]
 
-    def _split(self, text: str) -> bytes:
-        return b"".join(map(self.pieces.__getitem__, self.pattern.findall(text)))
-
-    def _word(self, word: str) -> bytes | None:
-        """The ids of a space and a word; None if white space at its ends might join what is outside."""
-        return None if not word or word[0].isspace() or word[-1].isspace() else self._split(" " + word)
+    def encode_batch(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text as little-endian 32-bit numbers.
+
+        Pre-tokens never reach over a single space or a single line feed between two characters that aren't white
+        space, but for the space itself, which begins the next one. So texts are cut there into words, which repeat
+        and are remembered. Texts with other white space between words are split whole."""
+        for memo in (self.words, self.pieces):
+            memo.turn()
+        if not self.local:
+            return self._join([self.pattern.findall(t) for t in texts])
+        cut = [self._words(t) for t in texts]
+        words = self.words
+        if fresh := set().union(*cut).difference(words):
+            for w in [w for w in fresh if w in words.old]:
+                words[w] = words.old[w]
+                fresh.discard(w)
+            inside = [w for w in fresh if not self._open(w)]
+            for w, ids in zip(inside, self._join([self.pattern.findall(w) for w in inside])):
+                words[w] = ids
+            for w in fresh.difference(inside):
+                words[w] = None
+        out, whole = [], []
+        for k, x in enumerate(cut):
+            try:
+                out.append(b"".join(map(words.__getitem__, x)))
+            except TypeError:  # None among them
+                out.append(b"")
+                whole.append(k)
+        for k, ids in zip(whole, self._join([self.pattern.findall(texts[k]) for k in whole])):
+            out[k] = ids
+        return out
 
-    def _first(self, word: str) -> bytes | None:
-        return None if not word or word[0].isspace() or word[-1].isspace() else self._split(word)
+    @staticmethod
+    def _words(text: str) -> list[str]:
+        """Words with the space before them, and line feeds."""
+        if "\n" not in text:
+            return text.replace(" ", "\0 ").split("\0") if "\0" not in text else ["\0"]
+        return text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0") if "\0" not in text else ["\0"]
+
+    @staticmethod
+    def _open(word: str) -> bool:
+        """Whether white space at an end might join what is outside."""
+        if word == "\n":
+            return False
+        bare = word[1:] if word[:1] == " " else word
+        return not bare or bare[0].isspace() or bare[-1].isspace() or "\0" in bare
 
     def encode(self, text: str) -> bytes:
-        """Pre-tokens never reach over a single space or a single line feed between two characters that aren't
-        white space, but for the space itself, which begins the next one. Texts with other white space between
-        words are split whole."""
-        if self.local:
-            out, get = [], self.words.__getitem__
-            for line in text.split("\n"):
-                first, *words = line.split(" ")
-                out.append(self.firsts[first])
-                out += map(get, words)
-                out.append(self.feed)
-            out.pop()
-            if None not in out:
-                return b"".join(out)
-        return self._split(text)
-
-    def encode_batch(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as little-endian 32-bit numbers."""
-        out = []
-        for text in texts:
-            out.append(self.encode(text))
-            for memo in (self.words, self.firsts, self.pieces):
-                memo.turn()
-        return out
+        return self.encode_batch([text])[0]
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
@@ -132,8 +164,8 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id
             KEPT[key] = ByteBPE(load_ranks(blob.value), pattern)
         bpe = KEPT[key]
         for b in batches:
-            for k in range(0, b.num_rows, 500):
-                part = b.slice(k, 500)
+            for k in range(0, b.num_rows, 200):
+                part = b.slice(k, 200)
                 ids = bpe.encode_batch(part.column(1).to_pylist())
                 offsets = np.concatenate([[0], np.cumsum([len(x) // 4 for x in ids])]).astype(np.int32)
                 values = pa.array(np.frombuffer(b"".join(ids), "<i4"))
