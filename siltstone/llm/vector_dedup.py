@@ -7,7 +7,7 @@ double precision block by block, and a pair counts in the first table in which i
 once though no pair is ever returned: a bucket returns counts per vector and a forest of its links. Components over
 all forests are found by distributed stars.
 
-Buckets of more than BUCKET vectors are split into salted parts and each pair of parts is searched, so every row
+Buckets of more than BUCKET_BYTES are split into salted parts and each pair of parts is searched, so every row
 of every bucket is compared. Vectors that are null, empty, zero or hold null or non-finite components link with
 nothing; so do vectors of different lengths. Rows that repeat an identifier count as vectors each; a null
 identifier counts as a link of others and gets the component they reach. Other columns of the input are left out.
@@ -26,7 +26,8 @@ from .common import arrow_map, join_hot, materialize
 from .components import components, forest, merge_labels
 from .mph import mix
 
-BUCKET = 20_000
+#: Bytes of the vectors that one bucket may hold before it is split.
+BUCKET_BYTES = 64 << 20
 BLOCK = 2048
 
 
@@ -37,8 +38,10 @@ def plan(rows: int, threshold: float, recall: float) -> tuple[int, int]:
     return bits, math.ceil(math.log(1 - recall) / math.log(1 - meet))
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), "<f8").reshape(len(column), -1)
+def _matrix(raws: list[bytes], kind: str) -> np.ndarray:
+    """Vectors in double precision, their greatest component 1."""
+    x = np.frombuffer(b"".join(raws), kind).reshape(len(raws), -1).astype(np.float64)
+    return x / np.abs(x).max(axis=1, keepdims=True)
 
 
 def _bucket_links(unit: np.ndarray, table: int, keys: np.ndarray, threshold: float):
@@ -58,8 +61,9 @@ def _bucket_links(unit: np.ndarray, table: int, keys: np.ndarray, threshold: flo
                 yield i, j
 
 
-def near_vectors(vectors: DataFrame, threshold: float = 0.95, recall: float = 0.999, id_col: str = "vec_id", vector_col: str = "embedding", seed: int = 7, bucket_limit: int = BUCKET) -> DataFrame:
+def near_vectors(vectors: DataFrame, threshold: float = 0.95, recall: float = 0.999, id_col: str = "vec_id", vector_col: str = "embedding", seed: int = 7, bucket_limit: int | None = None) -> DataFrame:
     """One row per row: vec_id, n_links long, component_id long, kept boolean."""
+    kind = "<f4" if dict(vectors.dtypes)[vector_col] == "array<float>" else "<f8"  # as exact as the column
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"))
     size = F.coalesce(F.size("v"), F.lit(0))
     bad = F.coalesce(F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))), F.lit(True)) | F.col("v").isNull() | (size <= 0) | F.coalesce(F.forall("v", lambda x: x == 0), F.lit(False))
@@ -67,7 +71,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, recall: float = 0.
 
     def to_bytes(batches):
         for b in batches:
-            raw = [None if x is None else np.array(x, "<f8").tobytes() for x in b.column(1).to_pylist()]
+            raw = [None if x is None else np.array(x, kind).tobytes() for x in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(raw, pa.binary())], names=["vec_id", "raw"])
 
     raw = arrow_map(rows.select("vec_id", "v"), to_bytes, "vec_id long, raw binary")
@@ -75,7 +79,8 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, recall: float = 0.
     unique = raw.filter("raw is not null").groupBy("mark").agg(F.first("raw").alias("raw"), F.min("vec_id").alias("rep"), F.count("*").alias("copies"))
     # an internal number for each distinct vector: its own 63-bit hash of the mark
     unique = materialize(unique.withColumn("no", F.abs(F.xxhash64("mark"))), "vec-distinct")
-    counted = unique.agg(F.count("*")).first()[0]
+    counted, longest = unique.agg(F.count("*"), F.max(F.length("raw"))).first()
+    bucket_limit = bucket_limit or max(2, BUCKET_BYTES // (longest or 1))
     bits, tables = plan(counted, threshold, recall)
 
     def deal(batches):
@@ -84,18 +89,17 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, recall: float = 0.
             lengths = np.array([len(x) for x in b.column(0).to_pylist()])
             for width in np.unique(lengths).tolist():
                 part = b.filter(pa.array(lengths == width))
+                x = _matrix(part.column(0).to_pylist(), kind)
                 if width not in planes:
-                    planes[width] = np.random.default_rng([seed, width]).standard_normal((width // 8, bits * tables))
-                x = _matrix(part.column(0))
-                x = x / np.abs(x).max(axis=1, keepdims=True)
+                    planes[width] = np.random.default_rng([seed, x.shape[1]]).standard_normal((x.shape[1], bits * tables))
                 signs = (x @ planes[width] > 0).reshape(len(x), tables, bits)
                 packed = np.zeros((len(x), tables, 8), np.uint8)
                 p = np.packbits(signs, axis=2)
                 packed[:, :, : p.shape[2]] = p
                 keys = packed.view(np.uint64).reshape(len(x), tables)
                 keys = np.stack([mix(keys[:, t], 1000 * width + t) for t in range(tables)], axis=1)
-                raw_keys = [k.tobytes() for k in keys]
                 for t in range(tables):
+                    raw_keys = [k.tobytes() for k in keys[:, :t]]  # of the tables before
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(keys[:, t].view(np.int64)), pa.array([t] * len(x), pa.int32()), part.column(1), part.column(2), part.column(0), pa.array(raw_keys, pa.binary())],
                         names=["bucket", "t", "no", "copies", "raw", "keys"],
@@ -127,10 +131,9 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, recall: float = 0.
             for a, z in zip(begins.tolist(), ends.tolist()):
                 if z - a < 2:
                     continue
-                x = np.frombuffer(b"".join(raws[a:z]), "<f8").reshape(z - a, -1)
-                x = x / np.abs(x).max(axis=1, keepdims=True)
+                x = _matrix(raws[a:z], kind)
                 x = x / np.sqrt((x * x).sum(axis=1, keepdims=True))
-                keys = np.frombuffer(b"".join(marks[a:z]), np.uint64).reshape(z - a, -1)
+                keys = np.frombuffer(b"".join(marks[a:z]), np.uint64).reshape(z - a, int(t[a]))
                 labels = np.arange(z - a)
                 for i, j in _bucket_links(x, int(t[a]), keys, threshold):
                     across = (side[a + i] != side[a + j]) | (side[a + i] == 0)
