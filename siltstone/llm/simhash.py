@@ -72,8 +72,8 @@ def fingerprints(docs: DataFrame, size: int = 4, seed: int = 42, words: int = 1,
 
     def run(batches):
         for b in batches:
-            for k in range(0, b.num_rows, 256):
-                part = b.slice(k, 256)
+            for k in range(0, b.num_rows, 64):
+                part = b.slice(k, 64)
                 codes = fingerprints_of(part.column(1).to_pylist(), size, seed, words).astype(">u8").tobytes()
                 raw = [codes[i : i + 8 * words] for i in range(0, len(codes), 8 * words)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(raw, pa.binary())], names=["doc_id", "code"])
@@ -148,13 +148,13 @@ class GrayIndex:
             return
         near = np.flatnonzero((self.bucket[1:] == self.bucket[:-1]) & (_distance(self.code[1:] ^ self.code[:-1]) <= self.radius))
         merge_labels(self.labels, self.vertex[near], self.vertex[near + 1])
-        top = len(self.levels) - 1
+        top, step = len(self.levels) - 1, 4096 // self.code.shape[1]  # pairs of nodes at a time
         roots = np.arange(len(self.levels[top]["low"]))
         stack, whole, changed = [(top, roots, roots)], self._whole(), False
         while stack:
             level, a, b = stack.pop()
-            if len(a) > 4096:
-                stack += [(level, a[k : k + 4096], b[k : k + 4096]) for k in range(0, len(a), 4096)]
+            if len(a) > step:
+                stack += [(level, a[k : k + step], b[k : k + step]) for k in range(0, len(a), step)]
                 continue
             if changed:
                 whole, changed = self._whole(), False
