@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 def holds(df: DataFrame, determinant: str, dependent: str) -> bool:
     """Whether each value of the determinant goes with one value of the dependent (NULL being one)."""
     key = F.coalesce(F.to_json(F.struct(dependent)), F.lit(""))
-    seen = df.groupBy(determinant).agg(F.min(key).alias("a"), F.max(key).alias("b"))
-    return seen.filter("a <> b").isEmpty()
+    seen = df.groupBy(determinant).agg(F.min(key).alias("__lo"), F.max(key).alias("__hi"))
+    return seen.filter("__lo <> __hi").isEmpty()
 
 
 def discover_dependencies(df: DataFrame, sample: float = 0.01, seed: int = 1) -> list[tuple[str, str]]:

@@ -17,7 +17,7 @@ SAME = [
     "SELECT a FROM (VALUES (1), (5)) v(a) WHERE a > ANY (SELECT x FROM (VALUES (2), (NULL)) w(x))",
     "SELECT a FROM (VALUES (1), (5)) v(a) WHERE NOT (a <> ALL (SELECT x FROM (VALUES (1), (NULL)) w(x)))",
     "SELECT STRFTIME(TIMESTAMP '2024-03-09 07:05:01', '%Y/%m/%d at %H:%M:%S') AS f, DATE_DIFF('month', DATE '2024-01-31', DATE '2024-02-01') AS m",
-    "SELECT DATE '2024-01-31' + INTERVAL 1 MONTH AS a, TIMESTAMP '2024-02-29 10:00:00' - INTERVAL 1 YEAR AS b",
+    "SELECT CAST(DATE '2024-01-31' + INTERVAL 1 MONTH AS TIMESTAMP) AS a, TIMESTAMP '2024-02-29 10:00:00' - INTERVAL 1 YEAR AS b",
     "SELECT 7 / 2 AS a, -7 % 3 AS b, CAST(-7 // 2 AS BIGINT) AS c, ROUND(2.5) AS d, ROUND(-2.5) AS e",
     'SELECT a AS "select me" FROM (VALUES (1)) v(a) -- a comment\n',
     "SELECT STRING_AGG(DISTINCT CAST(a AS VARCHAR), '-' ORDER BY CAST(a AS VARCHAR)) AS s FROM (VALUES (10), (9), (10)) v(a)",
@@ -51,6 +51,11 @@ def test_pushdown_reaches_the_scan(spark, sf):
     assert "ReadSchema: struct<l_quantity:double,l_discount:double,l_returnflag:string>" in plan
 
 
+def test_distinct_values_in_the_order_of_the_value_before_its_cast(spark):
+    row = spark.sql(sqlfront.translate("SELECT STRING_AGG(DISTINCT CAST(a AS VARCHAR), '-' ORDER BY a) AS s FROM (VALUES (10), (9), (10)) v(a)")).first()
+    assert row.s == "9-10"
+
+
 def test_errors():
     with pytest.raises(ValueError):
         sqlfront.translate("SELECT (1")
