@@ -28,8 +28,8 @@ from .common import KEPT, Memo, arrow_map, read_bytes, text_of
 OPEN_BINS = 4096
 #: Bytes of ids of the pieces that are offered longest first, together.
 LOOK = 16 << 20
-#: Words whose ids a worker remembers, twice at most.
-MEMO = 150_000
+#: Words, and their parts, whose ids a worker remembers, twice at most.
+WORDS, PARTS = 150_000, 250_000
 
 
 class BestFit:
@@ -97,7 +97,7 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_str(blob.decode())
         self.model, self.letters = self.tokenizer.model, byte_letters()
-        self.words, self.parts = Memo(self._word, MEMO), Memo(self._part, MEMO)
+        self.words, self.parts = Memo(self._word, WORDS), Memo(self._part, PARTS)
 
     def _part(self, part: str) -> bytes:
         if not part.isascii():
