@@ -29,15 +29,15 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     return out.select(*docs.columns)
 
 
-#: Of 256 bits of fingerprint: two texts whose sets of five-word shingles have a Jaccard similarity of 0.8 differ
-#: in 38.7 bits on average (256 / pi * acos(2 * 0.8 / 1.8)), give or take 5.7; this lets one deviation more pass.
-NEAR_BITS = 44
+#: Of 256 bits of fingerprint. Two texts whose sets of five-word shingles have a Jaccard similarity of 0.8 differ in
+#: 38.7 bits on average (256 / pi * acos(2 * 0.8 / 1.8)), give or take 5.7; the fewest shingles, 4 of 5, in 48, give or
+#: take 6.2. This is five deviations above both; what it lets pass is compared by the shingles.
+NEAR_BITS = 80
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents that are linked by shingles of five words at a similarity of 0.8, the smallest doc_id stays."""
-    linked = simhash.near_dedup(docs, size=5, words=4, radius=NEAR_BITS, recall=0.9)
-    gone = linked.filter("doc_id is not null and doc_id <> component_id").select("doc_id").distinct()
+    gone = simhash.near_sets(docs, percent=80, radius=NEAR_BITS, size=5).select(F.col("node").alias("doc_id"))
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 

@@ -21,6 +21,7 @@ identifiers get a component only through others with one. Other columns of the i
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -54,14 +55,17 @@ def shingle_hashes(text: str, size: int, seed: int) -> np.ndarray:
 
 def fingerprints_of(texts: list[str], size: int, seed: int, words: int) -> np.ndarray:
     """Rows of `words` 64-bit fingerprints; the first is that of the hashes, the others of hashes derived from them."""
-    hashes = [shingle_hashes(t or "", size, seed) for t in texts]
+    return _fingerprints_of_hashes([shingle_hashes(t or "", size, seed) for t in texts], words)
+
+
+def _fingerprints_of_hashes(hashes: list[np.ndarray], words: int) -> np.ndarray:
     n = np.array([len(h) for h in hashes])
-    flat, owner = np.concatenate([*hashes, np.zeros(0, np.uint64)]), np.repeat(np.arange(len(texts)), n) * 256
-    out = np.zeros((len(texts), words), np.uint64)
+    flat, owner = np.concatenate([*hashes, np.zeros(0, np.uint64)]), np.repeat(np.arange(len(hashes)), n) * 256
+    out = np.zeros((len(hashes), words), np.uint64)
     for w in range(words):
         lanes = (mix(flat, 7919 * w) if w else flat).view(np.uint8).reshape(-1, 8)
         for k in range(8):
-            counts = np.bincount(owner + lanes[:, k], minlength=256 * len(texts)).reshape(-1, 256) @ _BITS
+            counts = np.bincount(owner + lanes[:, k], minlength=256 * len(hashes)).reshape(-1, 256) @ _BITS
             byte = np.packbits(counts * 2 > n[:, None], axis=1, bitorder="little")[:, 0]
             out[:, w] |= byte.astype(np.uint64) << np.uint64(8 * k)
     return out
@@ -142,12 +146,13 @@ class GrayIndex:
         of = self.labels[self.vertex]
         return [np.where((a := np.minimum.reduceat(of, x["first"])) == np.maximum.reduceat(of, x["first"]), a, -1) for x in self.levels]
 
-    def search(self) -> None:
+    def search(self, verify: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None) -> None:
+        """With `verify`, a link counts only if it holds of the rows; rows known to be connected aren't asked about."""
         n = len(self.order)
         if n < 2:
             return
         near = np.flatnonzero((self.bucket[1:] == self.bucket[:-1]) & (_distance(self.code[1:] ^ self.code[:-1]) <= self.radius))
-        merge_labels(self.labels, self.vertex[near], self.vertex[near + 1])
+        self._link(near, near + 1, verify)
         top, step = len(self.levels) - 1, 4096 // self.code.shape[1]  # pairs of nodes at a time
         roots = np.arange(len(self.levels[top]["low"]))
         stack, whole, changed = [(top, roots, roots)], self._whole(), False
@@ -177,7 +182,21 @@ class GrayIndex:
                 stack.append((level - 1, i, j))
                 continue
             link = _distance(self.code[i] ^ self.code[j]) <= self.radius
-            changed = merge_labels(self.labels, self.vertex[i[link]], self.vertex[j[link]])
+            changed = self._link(i[link], j[link], verify)
+
+    def _link(self, i: np.ndarray, j: np.ndarray, verify: Callable | None) -> bool:
+        if verify is None:
+            return merge_labels(self.labels, self.vertex[i], self.vertex[j])
+        nearest = np.argsort(_distance(self.code[i] ^ self.code[j]), kind="stable")
+        i, j, changed, step = i[nearest], j[nearest], False, 256
+        while len(i):
+            apart = self.labels[self.vertex[i]] != self.labels[self.vertex[j]]
+            i, j = i[apart], j[apart]
+            a, b = i[:step], j[:step]
+            held = verify(self.order[a], self.order[b])
+            changed |= merge_labels(self.labels, self.vertex[a[held]], self.vertex[b[held]])
+            i, j, step = i[step:], j[step:], 2 * step
+        return changed
 
     def forest(self, rep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Edges (rep of a vertex, rep of its component's first vertex)."""
@@ -251,17 +270,23 @@ def links(codes: DataFrame, words: int, radius: int, tables: list[list[int]], bu
 
     dealt = arrow_map(codes.select("code", "rep"), deal, "bucket long, code binary, rep long")
     if codes.count() > bucket_limit:  # else no bucket can hold more
-        large = materialize(dealt.groupBy("bucket").count().filter(F.col("count") > bucket_limit), "simhash-large")
-        parts = F.ceil(F.col("count") / (bucket_limit / 2))
-        own = F.pmod(F.xxhash64("code"), parts)
-        split = dealt.join(large, "bucket").withColumn("own", own)
-        split = split.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
-        split = split.select(F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other")).alias("bucket"), "code", "rep")
-        dealt = dealt.join(large, "bucket", "left_anti").unionByName(split)
+        dealt = _split(dealt, bucket_limit)
     dealt = dealt.repartition("bucket").sortWithinPartitions("bucket")
     return arrow_map(dealt, lambda it: _search(it, words, radius), "u long, v long")
 
 
+def _split(dealt: DataFrame, bucket_limit: int, salt: str = "code") -> DataFrame:
+    """Buckets of more than bucket_limit rows become buckets of each pair of their parts, salted by a column."""
+    others = [c for c in dealt.columns if c != "bucket"]
+    large = materialize(dealt.groupBy("bucket").count().filter(F.col("count") > bucket_limit), "simhash-large")
+    parts = F.ceil(F.col("count") / (bucket_limit / 2))
+    own = F.pmod(F.xxhash64(salt), parts)
+    split = dealt.join(large, "bucket").withColumn("own", own)
+    split = split.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
+    split = split.select(F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other")).alias("bucket"), *others)
+    return dealt.join(large, "bucket", "left_anti").unionByName(split)
+
+
 def near_dedup(docs: DataFrame, size: int = 4, seed: int = 42, words: int = 1, radius: int = 4, recall: float | None = None, id_col: str = "doc_id", text_col: str = "text", bucket_limit: int = BUCKET) -> DataFrame:
     """One row per row: doc_id, code binary, component_id (the smallest doc_id reachable by links). With recall
     None the search is exact; else tables of random bits find a link at the radius with that probability."""
@@ -273,3 +298,131 @@ def near_dedup(docs: DataFrame, size: int = 4, seed: int = 42, words: int = 1, r
     found = components(links(known, words, radius, tables, bucket_limit))
     placed = codes.join(found, codes.rep == found.node, "left").select("code", F.coalesce("component", "rep").alias("component_id"), "rows")
     return join_hot(prints, placed, "code", "rows").select("doc_id", "code", "component_id")
+
+
+def shingle_set(text: str | None, size: int, seed: int) -> np.ndarray:
+    """The distinct shingle hashes, in the order of hashes derived from them."""
+    held = np.unique(shingle_hashes(text or "", size, seed))
+    return held[np.argsort(mix(held, 3), kind="stable")]
+
+
+def _set_key(held: np.ndarray) -> bytes:
+    return xxhash.xxh3_128_digest(held.tobytes())
+
+
+def same_share(sets: list[np.ndarray], percent: int) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """A function of rows i and j: whether their sets have a Jaccard similarity of `percent` or more."""
+    n = np.array([len(x) for x in sets], np.int64)
+    starts = np.cumsum(n) - n
+    members, flat = np.unique(np.concatenate([*sets, np.zeros(0, np.uint64)]), return_inverse=True)
+    marked = np.zeros(len(members), bool)
+
+    def verify(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(i), bool)
+        fit = np.flatnonzero(100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j]))
+        fit = fit[np.argsort(i[fit], kind="stable")]
+        cuts = np.flatnonzero(np.diff(i[fit], prepend=-1))
+        for at in np.split(fit, cuts[1:]) if len(fit) else ():
+            one = i[at[0]]
+            own = flat[starts[one] : starts[one] + n[one]]
+            marked[own] = True
+            for part in np.array_split(at, 1 + int(n[j[at]].sum() >> 20)):
+                both = np.zeros(len(part), np.int64)
+                if len(part) == 1:
+                    both[0] = marked[flat[starts[j[part[0]]] : starts[j[part[0]]] + n[j[part[0]]]]].sum()
+                elif len(part):
+                    size = n[j[part]]
+                    ends = np.cumsum(size)
+                    place = np.arange(ends[-1]) + np.repeat(starts[j[part]] - (ends - size), size)
+                    total = np.concatenate([[0], np.cumsum(marked[flat[place]])])
+                    both = total[ends] - total[ends - size]
+                out[part] = 100 * both >= percent * (n[one] + n[j[part]] - both)
+            marked[own] = False
+        return out
+
+    return verify
+
+
+def _whole_buckets(batches, least: int):
+    """Tables of whole buckets (first column, sorted) of `least` bytes or a bucket more."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        bucket = b.column(0).to_numpy()
+        cut = int(np.searchsorted(bucket, bucket[-1]))
+        if held and bucket[0] != held[-1].column(0)[-1].as_py() and sum(x.get_total_buffer_size() for x in held) >= least:
+            yield pa.Table.from_batches(held)
+            held = []
+        if cut and sum(x.get_total_buffer_size() for x in [*held, b]) >= least:
+            yield pa.Table.from_batches([*held, b.slice(0, cut)])
+            held = []
+            b = b.slice(cut)
+        held.append(b)
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def near_sets(docs: DataFrame, percent: int, radius: int, size: int = 5, seed: int = 42, words: int = 4, id_col: str = "doc_id", text_col: str = "text", bucket_limit: int = 20_000) -> DataFrame:
+    """node, component: each doc_id that isn't the smallest of those it is linked to, and the smallest. Linked are
+    texts whose sets of shingles have a Jaccard similarity of `percent` or more, directly or through others.
+
+    Blocks are exact: two such sets share one of the first n - ceil(percent n) + 1 members of each, in any one order,
+    so a text goes to a bucket for each of these. There the Gray-order index links fingerprints (of distinct
+    shingles) within `radius`, wide enough to lose nothing. Texts connected so far come together with their words, and
+    the index searches them again; there a link counts only if the sets hold it. Equal sets are one vertex, texts
+    without words too. Rows that repeat a doc_id are one document. Null doc_ids take no part."""
+
+    def run(batches):
+        for b in batches:
+            for k in range(0, b.num_rows, 64):
+                part = b.slice(k, 64)
+                sets = [shingle_set(t, size, seed) for t in part.column(1).to_pylist()]
+                codes = _fingerprints_of_hashes(sets, words).astype(">u8").tobytes()
+                raw = [codes[i : i + 8 * words] for i in range(0, len(codes), 8 * words)]
+                first = [x[: len(x) + 1 - -(-percent * len(x) // 100)].tobytes() if len(x) else b"" for x in sets]
+                columns = [part.column(0), *(pa.array(x, pa.binary()) for x in ([_set_key(x) for x in sets], raw, first))]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "set", "code", "first"])
+
+    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text")).filter("doc_id is not null")
+    prints = materialize(arrow_map(source, run, "doc_id long, set binary, code binary, first binary"), "near-prints")
+    nodes = prints.groupBy("set").agg(F.min("doc_id").alias("rep"), F.count("*").alias("rows"), F.first("code").alias("code"), F.first("first").alias("first"))
+    nodes = materialize(nodes.withColumn("vertex", F.monotonically_increasing_id()), "near-nodes")
+
+    def deal(batches):
+        for b in batches:
+            for k in range(0, b.num_rows, 1000):
+                part = b.slice(k, 1000)
+                first = part.column(1).to_pylist()
+                at = pa.array(np.repeat(np.arange(len(first)), [len(x) // 8 for x in first]))
+                bucket = np.frombuffer(b"".join(first), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(bucket), part.column(0).take(at), part.column(2).take(at)], names=["bucket", "code", "rep"])
+
+    dealt = arrow_map(nodes.select("code", "first", "vertex"), deal, "bucket long, code binary, rep long")
+    if nodes.count() > BUCKET:
+        dealt = _split(dealt, BUCKET)
+    dealt = dealt.repartition("bucket").sortWithinPartitions("bucket")
+    near = components(arrow_map(dealt, lambda it: _search(it, words, radius), "u long, v long"))
+    near = near.unionByName(near.select(F.col("component").alias("node"), "component").distinct())
+    near = nodes.join(near, nodes.vertex == near.node).select("component", "vertex", "rep", "set", "code")
+    texts = near.join(source, near.rep == source.doc_id).select(F.col("component").alias("bucket"), "vertex", "rep", "set", "code", "text")
+    if near.count() > bucket_limit:
+        texts = _split(texts, bucket_limit, "vertex")
+
+    def compare(batches):
+        for table in _whole_buckets(batches, 4 << 20):
+            columns = dict(zip(table.column_names, table.columns))
+            sets = [shingle_set(t, size, seed) for t in columns["text"].to_pylist()]
+            # rows that repeat an identifier may have other texts
+            own = np.array([_set_key(x) == k for x, k in zip(sets, columns["set"].to_pylist())])
+            sets = [x for x, o in zip(sets, own) if o]
+            bucket, vertex, rep = (columns[c].to_numpy()[own] for c in ("bucket", "vertex", "rep"))
+            code = np.frombuffer(b"".join(columns["code"].to_pylist()), ">u8").astype(np.uint64).reshape(-1, words)[own]
+            index = GrayIndex(bucket, code, vertex, radius)
+            index.search(same_share(sets, percent))
+            u, v = index.forest(rep)
+            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
+
+    held = arrow_map(texts.repartition("bucket").sortWithinPartitions("bucket"), compare, "u long, v long")
+    equal = join_hot(prints.select("doc_id", "set"), nodes.select("set", "rep", "rows"), "set", "rows").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
+    return components(held.unionByName(equal))

@@ -51,3 +51,23 @@ def test_near_copies_go(spark, sf):
 
 def test_run(spark, sf):
     assert P.run(spark, sf).count() > 0
+
+
+def test_near_copies_are_those_of_their_shingles(spark, sf):
+    """Similarities on both sides of 0.8, from 5 shingles to 200, repeated shingles and a repeated identifier."""
+    rng = np.random.default_rng(3)
+    texts = {}
+    for k in range(120):
+        words = [f"w{x}" for x in rng.integers(0, 10**6, rng.choice([8, 9, 30, 200]))]
+        other = list(words)
+        for at in rng.integers(0, len(words), max(1, len(words) // rng.integers(45, 60))):
+            other[at] = "changed"
+        texts[2 * k] = " ".join(words[: len(words) - len(words) % 2 if k % 3 else None])
+        texts[2 * k + 1] = " ".join(words[:-1] if k % 2 else other + ["and again the very same"] * 9 if k % 5 == 0 else other)
+    sets = {i: {tuple(w[a : a + 5]) for w in [t.split()] for a in range(max(1, len(w) - 4))} for i, t in texts.items()}
+    share = {i: len(sets[i] & sets[i + 1]) / len(sets[i] | sets[i + 1]) for i in texts if i % 2 == 0}
+    assert sum(x >= 0.8 for x in share.values()) > 20 and sum(0.6 < x < 0.8 for x in share.values()) > 20
+    rows = [(i, t, "en", "s", 1) for i, t in texts.items()] + [(1000, texts[0], "en", "s", 1), (1000, "a text of its own here", "en", "s", 1), (1001, "a text of its own here", "en", "s", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(4)
+    kept = {r.doc_id for r in P.keep_one_of_near_copies(spark, docs, sf).collect()}
+    assert set(texts) - kept == {i + 1 for i, x in share.items() if x >= 0.8} and not kept & {1000, 1001}
