@@ -5,8 +5,9 @@ menus, headers, footers, sidebars, notices, adverts, forms or reader comments (b
 class and id) have no text to count. The text lengths of lines, without those of links, are summed over sliding
 windows. Where the sum surges from nothing the text begins, where it dives to nothing it ends, and what stands
 between is kept, short lines too. A page that marks its article has a gap on both sides of it: the surge and the
-dive are then the first and the last line inside, so short headings and closing lines aren't lost. Else the runs
-between surge and dive are weighed by their text and the heaviest is kept, with the headings just above it.
+dive are then the first and the last line inside, so short headings and closing lines aren't lost. Else unwanted
+lines are left out before the windows are summed, the runs between surge and dive are weighed by their text, and from
+the first to the last of the heavy ones all is kept, lists of links between them too, with the headings just above.
 
 In a line, character references are decoded and white space becomes one space; empty lines go; lines are joined by
 \\n in page order. Null html counts as empty; a page without text gives an empty string. Very long pages are read
@@ -29,6 +30,8 @@ from .common import arrow_map, text_of
 WINDOW = 3
 #: Text of a window from which a surge is one, in pages that mark no article.
 SURGE = 40
+#: Text of a run that is kept besides the heaviest.
+HEAVY = 120
 
 _TOKEN = re.compile(r"<!--.*?(?:--!?>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([A-Za-z][^\s/>]*)([^>]*)>", re.S)
 _ATTR = re.compile(r"\b(class|id|role|aria-label|hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
@@ -163,26 +166,28 @@ def main_text(page: str | None) -> str:
     wanted = np.array([not x[2] for x in lines])
     marked = np.array([x[3] for x in lines]) & wanted
     length = np.array([x[1] for x in lines]) * wanted
+    keep = np.zeros(len(lines), bool)
     if marked.any():
         # Only the article's own lines have length, so the window sums surge at its first line and dive at its last.
         begins, ends = _surges(np.maximum(length, 1) * marked, 1, 1)
-        keep = np.zeros(len(lines), bool)
         for a, z in zip(begins, ends):
             keep[a:z] = True
         keep &= marked
     else:
+        # Unwanted lines are left out, so they open no gap.
+        rows = np.flatnonzero(wanted)
+        length = length[rows]
         begins, ends = _surges(length, WINDOW, SURGE)
         if not begins:
             begins, ends = _surges(length, 1, 1)
         if not begins:
             return ""
-        weigh = [int(length[a:z].sum()) for a, z in zip(begins, ends)]
-        a, z = begins[int(np.argmax(weigh))], ends[int(np.argmax(weigh))]
-        while a and wanted[a - 1] and lines[a - 1][4]:
+        weigh = np.array([int(length[a:z].sum()) for a, z in zip(begins, ends)])
+        heavy = np.flatnonzero(weigh >= min(weigh.max(), HEAVY))
+        a, z = begins[heavy[0]], ends[heavy[-1]]
+        while a and lines[rows[a - 1]][4]:
             a -= 1
-        keep = np.zeros(len(lines), bool)
-        keep[a:z] = True
-        keep &= wanted
+        keep[rows[a:z]] = True
     return "\n".join(lines[i][0] for i in np.flatnonzero(keep))
 
 

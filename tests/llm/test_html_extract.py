@@ -18,6 +18,13 @@ def test_page_without_an_article():
     assert lines[0] == "Heading" and lines[-1] == "Bye." and len(lines) == 7
 
 
+def test_text_broken_by_an_advert_or_links():
+    text = [f"This is a long paragraph of the main text, number {k}, with a good many words in it." for k in range(10)]
+    for between, kept in (('<div class="ad"><p>Buy</p><p>this</p><p>now</p></div>', []), ('<ul><li><a href="/a">One</a></li><li><a href="/b">Two</a></li><li><a href="/c">Three</a></li></ul>', ["One", "Two", "Three"])):
+        page = "<body><div>" + "".join(f"<p>{x}</p>" for x in text[:5]) + between + "".join(f"<p>{x}</p>" for x in text[5:]) + "</div></body>"
+        assert H.main_text(page).split("\n") == text[:5] + kept + text[5:]
+
+
 def test_odd_pages():
     assert H.main_text(None) == "" and H.main_text("") == "" and H.main_text("<p></p>") == ""
     assert H.main_text("just text & more &nbsp; text") == "just text & more text"
