@@ -4,7 +4,7 @@ Markup is stripped to lines, one per block of the page; scripts, styles and othe
 menus, headers, footers, sidebars, notices, adverts, forms or reader comments (by element, role, or the words of
 class and id) have no text to count. The text lengths of lines, without those of links, are summed over sliding
 windows. Where the sum surges from nothing the text begins, where it dives to nothing it ends, and what stands
-between is kept, short lines too. A page that marks its article has a gap on both sides of it: the surge and the
+between is kept, short lines too. A page that marks its article, with half of its text or more in it, has a gap on both sides of it: the surge and the
 dive are then the first and the last line inside, so short headings and closing lines aren't lost. Else unwanted
 lines are left out before the windows are summed, the runs between surge and dive are weighed by their text, and from
 the first to the last of the heavy ones all is kept, lists of links between them too, with the headings just above.
@@ -167,7 +167,7 @@ def main_text(page: str | None) -> str:
     marked = np.array([x[3] for x in lines]) & wanted
     length = np.array([x[1] for x in lines]) * wanted
     keep = np.zeros(len(lines), bool)
-    if marked.any():
+    if marked.any() and 2 * (length * marked).sum() >= length.sum():
         # Only the article's own lines have length, so the window sums surge at its first line and dive at its last.
         begins, ends = _surges(np.maximum(length, 1) * marked, 1, 1)
         for a, z in zip(begins, ends):

@@ -25,6 +25,12 @@ def test_text_broken_by_an_advert_or_links():
         assert H.main_text(page).split("\n") == text[:5] + kept + text[5:]
 
 
+def test_a_small_article_does_not_decide():
+    text = [f"This is a long paragraph of the main text, number {k}, with a good many words in it." for k in range(6)]
+    page = "<body><div>" + "".join(f"<p>{x}</p>" for x in text) + "</div><article><h3>Teaser</h3><p>Read on.</p></article></body>"
+    assert H.main_text(page).split("\n")[:6] == text
+
+
 def test_odd_pages():
     assert H.main_text(None) == "" and H.main_text("") == "" and H.main_text("<p></p>") == ""
     assert H.main_text("just text & more &nbsp; text") == "just text & more text"
