@@ -2,7 +2,7 @@
 
 Markup is stripped to lines, one per block of the page; scripts, styles and other raw elements go, and lines inside
 menus, headers, footers, sidebars, notices, adverts, forms or reader comments (by element, role, or the words of
-class and id) have no text to count. The text lengths of lines, without those of links, are summed over sliding
+class and id, unless it holds an article or most of the page's text) have no text to count. The text lengths of lines, without those of links, are summed over sliding
 windows. Where the sum surges from nothing the text begins, where it dives to nothing it ends, and what stands
 between is kept, short lines too. A page that marks its article, with half of its text or more in it, has a gap on both sides of it: the surge and the
 dive are then the first and the last line inside, so short headings and closing lines aren't lost. Else unwanted
@@ -32,6 +32,8 @@ WINDOW = 3
 SURGE = 40
 #: Text of a run that is kept besides the heaviest.
 HEAVY = 120
+#: Text that an element beside an article has to hold so that its name doesn't blank it.
+WRAPPED = 240
 
 _TOKEN = re.compile(r"<!--.*?(?:--!?>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([A-Za-z][^\s/>]*)([^>]*)>", re.S)
 _ATTR = re.compile(r"\b(class|id|role|aria-label|hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
@@ -47,6 +49,9 @@ ROLES = frozenset("navigation banner contentinfo complementary search form dialo
 BOILERPLATE = frozenset(
     "ad ads adv advert adverts advertisement advertisements advertising sponsor sponsored promo promotion promoted banner nav navbar navigation menu menus sidebar side aside footer foot breadcrumb breadcrumbs cookie cookies consent gdpr notice notices notification alert disclaimer comment comments commentlist disqus reply replies respond share sharing social related recommended recommendations newsletter subscribe subscription signup login widget widgets popup modal overlay pagination pager paging toolbar tags tagcloud masthead topbar form search copyright".split()
 )
+#: First and last words of a class that speaks of what an element has beside or inside it.
+BEFORE = frozenset("has no not with without is".split())
+AFTER = frozenset("open opened closed on off enabled disabled".split())
 #: An open element that one of these closes if it is still open.
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 CLOSES |= {t: {"p"} for t in BLOCK if t not in CLOSES}
@@ -54,22 +59,25 @@ CLOSES |= {t: {"p"} for t in BLOCK if t not in CLOSES}
 SCOPE = frozenset("article aside blockquote body center details dialog div fieldset figure footer form header html main nav section table ul ol dl".split())
 
 
-def _unwanted(tag: str, attributes: str, in_article: bool) -> bool:
+def _unwanted(tag: str, attributes: str, in_article: bool) -> tuple[bool, bool]:
+    """By the element, its role or hidden; by the words of its class or id."""
     if tag in SKIP or tag == "header" and not in_article:
-        return True
+        return True, False
     if not attributes or tag in ("html", "body"):
-        return False
+        return False, False
+    named = False
     for name, a, b, c in _ATTR.findall(attributes):
         name, value = name.lower(), a or b or c
         if name == "hidden":
-            return True
+            return True, False
         if name == "role" and value.lower() in ROLES:
-            return True
-        if name in ("class", "id"):
-            parts = {p.lower() for p in _PART.findall(value)}
-            if parts & BOILERPLATE or "header" in parts and not in_article and tag not in HEADING:
-                return True
-    return False
+            return True, False
+        if name in ("class", "id") and tag not in ("article", "main"):
+            for token in value.split():
+                parts = [p.lower() for p in _PART.findall(token)]
+                if parts and parts[0] not in BEFORE and parts[-1] not in AFTER:
+                    named |= not BOILERPLATE.isdisjoint(parts) or "header" in parts and not in_article and tag not in HEADING
+    return False, named
 
 
 def lines_of(page: str) -> list[tuple[str, int, bool, bool, bool]]:
@@ -77,8 +85,11 @@ def lines_of(page: str) -> list[tuple[str, int, bool, bool, bool]]:
     out: list[tuple[str, int, bool, bool, bool]] = []
     parts: list[str] = []
     linked: list[str] = []
-    stack: list[tuple[str, bool, bool, bool]] = []  # tag, unwanted, in article, in link
-    state = ["", False, False, False]
+    stack: list[tuple[str, bool, bool, bool, int]] = []  # tag, unwanted, in article, in link, place in named
+    state = ["", False, False, False, 0]
+    # Elements that a class or id calls unwanted: [the one around it, text below it, holds an article]; 0 is the page.
+    named: list[list] = [[0, 0, False]]
+    within: list[int] = []  # of each line, the innermost of these
 
     def flush() -> None:
         if parts:
@@ -87,11 +98,12 @@ def lines_of(page: str) -> list[tuple[str, int, bool, bool, bool]]:
                 inside = len("".join("".join(linked).split()))
                 heading = any(t in HEADING for t, *_ in stack[-4:])
                 out.append((text, max(0, len(text.replace(" ", "")) - inside), state[1], state[2], heading))
+                within.append(state[4])
             parts.clear()
             linked.clear()
 
     def restore() -> None:
-        state[:] = list(stack[-1]) if stack else ["", False, False, False]
+        state[:] = list(stack[-1]) if stack else ["", False, False, False, 0]
 
     def put(raw: str) -> None:
         if raw:
@@ -147,16 +159,37 @@ def lines_of(page: str) -> list[tuple[str, int, bool, bool, bool]]:
                         break
             if tag in ("article", "main") and stack and not stack[-1][2]:
                 # elements that should have been closed before the article
-                while stack and stack[-1][1] and stack[-1][0] in ("nav", "ul", "ol", "li", "a", "p", "span", "b", "i"):
+                while stack and (stack[-1][1] or stack[-1][4]) and stack[-1][0] in ("nav", "ul", "ol", "li", "a", "p", "span", "b", "i"):
                     stack.pop()
                 restore()
         if tag in VOID:
             continue
-        bad = state[1] or _unwanted(tag, attributes, state[2])
-        stack.append((tag, bad, state[2] or tag in ("article", "main"), state[3] or tag == "a"))
+        bad, by_name = _unwanted(tag, attributes, state[2])
+        at_name = state[4]
+        if by_name:
+            named.append([at_name, 0, False])
+            at_name = len(named) - 1
+        if tag in ("article", "main"):
+            named[at_name][2] = True
+        stack.append((tag, state[1] or bad, state[2] or tag in ("article", "main"), state[3] or tag == "a", at_name))
         restore()
     flush()
-    return out
+    if len(named) == 1:
+        return out
+    for line, k in zip(out, within):
+        named[k][1] += line[1] * (not line[2])
+    for k in range(len(named) - 1, 0, -1):
+        around, length, article = named[k]
+        named[around][1] += length
+        named[around][2] |= article
+    # A name alone doesn't blank an article or most of the page's text (beside an article, a line or two are no wrapper).
+    least = named[0][1] // 2 + 1
+    if named[0][2]:
+        least = max(least, WRAPPED)
+    gone = [False]
+    for around, length, article in named[1:]:
+        gone.append(gone[around] or not article and length < least)
+    return [(text, n, bad or gone[k], article, heading) for (text, n, bad, article, heading), k in zip(out, within)]
 
 
 def main_text(page: str | None) -> str:

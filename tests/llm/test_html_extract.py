@@ -31,6 +31,16 @@ def test_a_small_article_does_not_decide():
     assert H.main_text(page).split("\n")[:6] == text
 
 
+def test_names_of_wrappers():
+    text = [f"This is a long paragraph of the main text, number {k}, with a good many words in it." for k in range(6)]
+    body = "".join(f"<p>{x}</p>" for x in text)
+    side = '<div class="sidebar"><p>One of the other stories, with some words.</p></div>'
+    for tag, name in (("div", "content has-sidebar"), ("div", "content-sidebar-wrap"), ("article", "post comments-open"), ("main", "no-sidebar"), ("div", "sidebar-layout")):
+        for attribute in ("class", "id"):
+            assert H.main_text(f"<body><{tag} {attribute}='{name}'>{body}{side}</{tag}></body>").split("\n") == text
+    assert H.main_text(f"<div class='form-page'><article>{body}</article>{side}</div>").split("\n") == text
+
+
 def test_odd_pages():
     assert H.main_text(None) == "" and H.main_text("") == "" and H.main_text("<p></p>") == ""
     assert H.main_text("just text & more &nbsp; text") == "just text & more text"
