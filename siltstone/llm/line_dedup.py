@@ -154,8 +154,11 @@ def line_dedup(docs: DataFrame, min_chars: int = 10, id_col: str = "doc_id", tex
 
 
 def _routed(docs, keys, index, shards, min_chars, id_col, text_col, schema, out_names) -> DataFrame:
-    """The arrays stay in their shards and the hashes come to them."""
+    """The arrays stay in their shards and the hashes come to them. Lines to drop come back by the number of the row,
+    as rows may share an identifier."""
     sc = docs.sparkSession.sparkContext
+    docs_names = list(docs.columns)
+    docs = materialize(docs.withColumn("__row", F.monotonically_increasing_id()), "line-rows")
     id_at, text_at = docs.columns.index(id_col), docs.columns.index(text_col)
     # Of all keys, the heaviest by their count: no other has more than 1/HOT_KEYS of the rows to deal.
     top = keys.orderBy(F.col("n").desc(), "hi", "lo").limit(HOT_KEYS).collect()
@@ -172,43 +175,40 @@ def _routed(docs, keys, index, shards, min_chars, id_col, text_col, schema, out_
                     continue
                 hi, lo = _halves([h for x in found for _, h in x])
                 doc, line = np.repeat(_ids(part.column(0)), n), np.array([i for x in found for i, _ in x], np.int64)
+                row = np.repeat(part.column(2).to_numpy(), n)
                 held, first = near.probe(hi, lo)
                 own = held & (first == doc)  # these stay and need no answer
-                # a shard below 0: answered here, spread by document
-                shard = np.where(held, -1 - (mix(doc.view(np.uint64), 5) >> np.uint64(40)).astype(np.int64), hi.view(np.int64) % shards)
-                sub = np.where(held, 0, (mix(doc.view(np.uint64), 6) % np.uint64(1 << 30)).astype(np.int64))
-                columns = [shard, sub, hi.view(np.int64), lo.view(np.int64), doc, line, held]
-                yield pa.RecordBatch.from_arrays([pa.array(c[~own]) for c in columns], names=["shard", "sub", "hi", "lo", "doc", "line", "known"])
+                # a shard below 0: answered here, spread by row
+                shard = np.where(held, -1 - (mix(row.view(np.uint64), 5) >> np.uint64(40)).astype(np.int64), hi.view(np.int64) % shards)
+                sub = np.where(held, 0, (mix(row.view(np.uint64), 6) % np.uint64(1 << 30)).astype(np.int64))
+                columns = [shard, sub, hi.view(np.int64), lo.view(np.int64), doc, row, line, held]
+                yield pa.RecordBatch.from_arrays([pa.array(c[~own]) for c in columns], names=["shard", "sub", "hi", "lo", "doc", "row", "line", "known"])
 
-    asked = arrow_map(docs.select(id_col, text_col), ask, "shard long, sub long, hi long, lo long, doc long, line long, known boolean")
-    known = asked.filter("known").select("doc", "line")
+    asked = arrow_map(docs.select(id_col, text_col, "__row"), ask, "shard long, sub long, hi long, lo long, doc long, row long, line long, known boolean")
+    known = asked.filter("known").select("row", "line")
 
     def answer(key, left, right):
         blobs = right.column("blob").to_pylist()
         if not blobs or not left.num_rows:
-            return pa.table({"doc": pa.array([], pa.int64()), "line": pa.array([], pa.int64())})
+            return pa.table({"row": pa.array([], pa.int64()), "line": pa.array([], pa.int64())})
         one = HashIndex.load(blobs[0])
         held, first = one.probe(left.column("hi").to_numpy().view(np.uint64), left.column("lo").to_numpy().view(np.uint64))
         doc = left.column("doc").to_numpy()
         gone = held & (first != doc)
-        return pa.table({"doc": pa.array(doc[gone]), "line": pa.array(left.column("line").to_numpy()[gone])})
+        return pa.table({"row": pa.array(left.column("row").to_numpy()[gone]), "line": pa.array(left.column("line").to_numpy()[gone])})
 
     slices = 16  # of the questions to one shard, which each get its arrays
     far = asked.filter("not known").withColumn("slice", F.pmod("sub", F.lit(slices)))
     copies = index.select(F.col("shard").cast("long").alias("shard"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(slices - 1).cast("long"))).alias("slice"), "blob")
-    answered = far.groupBy("shard", "slice").cogroup(copies.groupBy("shard", "slice")).applyInArrow(answer, "doc long, line long")
-    gone = known.unionByName(answered).groupBy("doc").agg(F.collect_set("line").alias("__gone")).withColumnRenamed("doc", "__doc")
-    joined = docs.join(gone, F.coalesce(docs[id_col].cast("long"), F.lit(_LAST)) == F.col("__doc"), "left").drop("__doc")
+    answered = far.groupBy("shard", "slice").cogroup(copies.groupBy("shard", "slice")).applyInArrow(answer, "row long, line long")
+    gone = known.unionByName(answered).groupBy("row").agg(F.collect_set("line").alias("__gone")).withColumnRenamed("row", "__drow")
+    joined = docs.join(gone, F.col("__row") == F.col("__drow"), "left").select(*docs_names, "__gone")
 
     def run(batches):
         for b in batches:
             gone_at = b.num_columns - 1
             dropped = [set(x) if x else None for x in b.column(gone_at).to_pylist()]
-            texts = b.column(text_at).to_pylist()
-            # rows that repeat an identifier may have other texts: each keeps to its own lines
-            dropped = [x and {i for i in x if i <= (t or "").count("\n")} for x, t in zip(dropped, texts)]
             bare = pa.RecordBatch.from_arrays(b.columns[:gone_at], names=docs_names)
             yield _rewrite(bare, dropped, text_at, out_names)
 
-    docs_names = list(docs.columns)
     return arrow_map(joined, run, schema)

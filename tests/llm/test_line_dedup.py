@@ -39,6 +39,14 @@ def test_documents(spark, sf, way, monkeypatch):
     assert rows_of(line_dedup.line_dedup(docs, **way)) == brute([tuple(r) for r in docs.collect()])
 
 
+@pytest.mark.parametrize("way", [dict(), dict(broadcast_bytes=0), dict(broadcast_bytes=0, shard_keys=2)])
+def test_rows_that_share_an_identifier(spark, way):
+    texts = ["a line that is shared\nyet another line", "a unique first line here\na line that is shared", "a third row's own line\nx\nyet another line"]
+    rows = [(1, "a line that is shared\nyet another line"), *((i, t) for i in (None, 7) for t in texts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert rows_of(line_dedup.line_dedup(df, **way)) == brute(rows)
+
+
 def test_empty_table(none):
     assert line_dedup.line_dedup(none).count() == 0
     assert line_dedup.line_dedup(none, broadcast_bytes=0).count() == 0
