@@ -13,10 +13,10 @@ gives an empty one. Other columns of the input, whatever their names, are left o
 from __future__ import annotations
 
 import base64
-import heapq
 import sys
 import zlib
 from array import array
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -41,42 +41,62 @@ def load_ranks(blob: bytes) -> dict[bytes, int]:
 class ByteBPE:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks, self.pattern = ranks, regex.compile(pattern)
-        self.words = list(ranks)
-        self.hash = PerfectHash(np.array([xxhash.xxh3_64_intdigest(w) for w in self.words], np.uint64))
-        at = self.hash.lookup(np.array([xxhash.xxh3_64_intdigest(w) for w in self.words], np.uint64))
-        self.slots: list[tuple[bytes, int]] = [(b"", -1)] * len(self.words)
-        for i, w in zip(at.tolist(), self.words):
+        self.vocabulary = list(ranks)
+        self.hash = PerfectHash(np.array([xxhash.xxh3_64_intdigest(w) for w in self.vocabulary], np.uint64))
+        at = self.hash.lookup(np.array([xxhash.xxh3_64_intdigest(w) for w in self.vocabulary], np.uint64))
+        self.slots: list[tuple[bytes, int]] = [(b"", -1)] * len(self.vocabulary)
+        for i, w in zip(at.tolist(), self.vocabulary):
             self.slots[i] = (w, ranks[w])
         self.bytes_of = {i: w for w, i in ranks.items()}
+        self.single = [ranks[bytes([b])] for b in range(256)]
+        # by the left id and the right one, the id of their joined bytes
+        self.pairs: list[dict[int, int]] = [{} for _ in range(max(ranks.values(), default=0) + 1)]
+        for w, i in ranks.items():
+            for k in range(1, len(w)):
+                if (a := ranks.get(w[:k])) is not None and (b := ranks.get(w[k:])) is not None:
+                    self.pairs[a][b] = i
+        # the same of two bytes; -1: none
+        self.two = [[self.pairs[a].get(b, -1) for b in self.single] for a in self.single]
         self.pieces, self.words = Memo(lambda p: None, PIECES), Memo(lambda w: None, WORDS)
         self.local = pattern == LOCAL
 
     def merge(self, piece: bytes) -> list[int]:
-        """The heap over linked bytes."""
-        ranks, n = self.ranks, len(piece)
+        """The heap over linked bytes. An entry is the rank of a pair, which is the id it becomes, and its place; it
+        counts only as long as the pair at that place still has that rank."""
+        n, pairs, two = len(piece), self.pairs, self.two
+        single = self.single
+        ids = [single[b] for b in piece]
         if n == 1:
-            return [ranks[piece]]
-        end = list(range(1, n + 1))  # where the part that begins here ends
-        before, alive = list(range(-1, n - 1)), [True] * n
-        heap = [(r, i, i + 2) for i in range(n - 1) if (r := ranks.get(piece[i : i + 2])) is not None]
-        heapq.heapify(heap)
+            return ids
+        at = [two[a][b] for a, b in zip(piece, piece[1:])]  # by place, the rank of the pair that begins there
+        shift = 12 if n < 4096 else 40  # small numbers are compared faster
+        low = (1 << shift) - 1
+        heap = [r << shift | i for i, r in enumerate(at) if r >= 0]
+        heapify(heap)
+        at.append(-1)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         while heap:
-            _, i, stop = heapq.heappop(heap)
-            if not alive[i] or end[i] >= n or end[end[i]] != stop:
+            entry = heappop(heap)
+            i = entry & low
+            r = entry >> shift
+            if at[i] != r:
                 continue
-            j = end[i]
-            alive[j], end[i] = False, stop
-            if stop < n:
-                before[stop] = i
-                if (r := ranks.get(piece[i : end[stop]])) is not None:
-                    heapq.heappush(heap, (r, i, end[stop]))
-            if (h := before[i]) >= 0 and (r := ranks.get(piece[h:stop])) is not None:
-                heapq.heappush(heap, (r, h, stop))
-        out, i = [], 0
-        while i < n:
-            out.append(ranks[piece[i : end[i]]])
-            i = end[i]
-        return out
+            j = after[i]
+            k = after[i] = after[j]
+            ids[i], ids[j], at[j] = r, -1, -1
+            if k < n:
+                before[k] = i
+                at[i] = new = pairs[r].get(ids[k], -1)
+                if new >= 0:
+                    heappush(heap, new << shift | i)
+            else:
+                at[i] = -1
+            h = before[i]
+            if h >= 0:
+                at[h] = new = pairs[ids[h]].get(r, -1)
+                if new >= 0:
+                    heappush(heap, new << shift | h)
+        return [x for x in ids if x >= 0]
 
     def _learn(self, pieces: list[str]) -> None:
         """Fills the memo of pre-tokens: the perfect hash for all at once, the heap for those it misses."""
@@ -92,12 +112,8 @@ class ByteBPE:
 
     def _join(self, split: list[list[str]]) -> list[bytes]:
         """The ids of lists of pre-tokens."""
-        if fresh := set().union(*split).difference(self.pieces):
-            old = self.pieces.old
-            for p in [p for p in fresh if p in old]:
-                self.pieces[p] = old[p]
-                fresh.discard(p)
-            self._learn(list(fresh))
+        if fresh := self.pieces.unknown(set().union(*split)):
+            self._learn(fresh)
         get = self.pieces.__getitem__
         return [b"".join(map(get, x)) for x in split]
 
@@ -113,15 +129,12 @@ class ByteBPE:
             return self._join([self.pattern.findall(t) for t in texts])
         cut = [self._words(t) for t in texts]
         words = self.words
-        if fresh := set().union(*cut).difference(words):
-            for w in [w for w in fresh if w in words.old]:
-                words[w] = words.old[w]
-                fresh.discard(w)
+        if fresh := words.unknown(set().union(*cut)):
             inside = [w for w in fresh if not self._open(w)]
+            for w in fresh:
+                words[w] = None
             for w, ids in zip(inside, self._join([self.pattern.findall(w) for w in inside])):
                 words[w] = ids
-            for w in fresh.difference(inside):
-                words[w] = None
         out, whole = [], []
         for k, x in enumerate(cut):
             try:
@@ -155,46 +168,49 @@ class ByteBPE:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
 
-def encode(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id_col, ids array<int>."""
+def kept_bpe(blob: bytes, pattern: str) -> ByteBPE:
+    if (key := ("bpe", zlib.crc32(blob), pattern)) not in KEPT:
+        KEPT[key] = ByteBPE(load_ranks(blob), pattern)
+    return KEPT[key]
+
+
+def _lists(ids: list[bytes]) -> pa.ListArray:
+    offsets = np.concatenate([[0], np.cumsum([len(x) // 4 for x in ids])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(ids), "<i4")))
+
+
+def _bytes_back(bpe: ByteBPE, lists: pa.ListArray) -> pa.Array:
+    """The bytes of each list of ids; a null list counts as empty."""
+    return pa.array([b"".join(map(bpe.bytes_of.__getitem__, x or ())) for x in lists.to_pylist()], pa.binary())
+
+
+def encode(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", decoded: bool = False) -> DataFrame:
+    """id_col, ids array<int>; with `decoded` also decoded binary, the bytes that the ids give back."""
     blob = docs.sparkSession.sparkContext.broadcast(read_bytes(vocabulary))  # a fixed file of under 1 MB
 
     def run(batches):
-        if (key := ("bpe", zlib.crc32(blob.value), pattern)) not in KEPT:
-            KEPT[key] = ByteBPE(load_ranks(blob.value), pattern)
-        bpe = KEPT[key]
+        bpe = kept_bpe(blob.value, pattern)
         for b in batches:
             for k in range(0, b.num_rows, 200):
                 part = b.slice(k, 200)
-                ids = bpe.encode_batch(part.column(1).to_pylist())
-                offsets = np.concatenate([[0], np.cumsum([len(x) // 4 for x in ids])]).astype(np.int32)
-                values = pa.array(np.frombuffer(b"".join(ids), "<i4"))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(offsets), values)], names=[id_col, "ids"])
+                lists = _lists(bpe.encode_batch(part.column(1).to_pylist()))
+                columns = [part.column(0), lists, *([_bytes_back(bpe, lists)] if decoded else [])]
+                yield pa.RecordBatch.from_arrays(columns, names=[id_col, "ids", "decoded"][: len(columns)])
 
     source = docs.select(id_col, text_of(text_col).alias("text"))
-    return arrow_map(source, run, f"`{id_col}` {source.schema[0].dataType.simpleString()}, ids array<int>")
+    return arrow_map(source, run, f"`{id_col}` {source.schema[0].dataType.simpleString()}, ids array<int>" + ", decoded binary" * decoded)
 
 
-def decode(encoded: DataFrame, vocabulary: str, id_col: str = "doc_id") -> DataFrame:
+def decode(encoded: DataFrame, vocabulary: str, pattern: str = LOCAL, id_col: str = "doc_id") -> DataFrame:
     """id_col, ids, decoded binary. A null list of ids counts as empty; an id outside the vocabulary is an error."""
     blob = encoded.sparkSession.sparkContext.broadcast(read_bytes(vocabulary))
 
     def run(batches):
-        words = {i: w for w, i in load_ranks(blob.value).items()}
-        size = max(words) + 1
-        lengths = np.zeros(size, np.int64)
-        for i, w in words.items():
-            lengths[i] = len(w)
+        bpe = kept_bpe(blob.value, pattern)
         for b in batches:
             for k in range(0, b.num_rows, 500):
                 part = b.slice(k, 500)
-                lists = part.column(1)
-                ids = lists.flatten().to_numpy(zero_copy_only=False)
-                sizes = np.nan_to_num(np.asarray(lists.value_lengths().to_numpy(zero_copy_only=False), float)).astype(np.int64)
-                joined = b"".join(map(words.__getitem__, ids.tolist()))
-                ends = np.concatenate([[0], np.cumsum(lengths[ids])])[np.concatenate([[0], np.cumsum(sizes)])]
-                raw = [joined[x:y] for x, y in zip(ends[:-1].tolist(), ends[1:].tolist())]
-                yield pa.RecordBatch.from_arrays([part.column(0), lists, pa.array(raw, pa.binary())], names=[id_col, "ids", "decoded"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), _bytes_back(bpe, part.column(1))], names=[id_col, "ids", "decoded"])
 
     source = encoded.select(id_col, F.col("ids").cast("array<int>").alias("ids"))
     return arrow_map(source, run, f"`{id_col}` {source.schema[0].dataType.simpleString()}, ids array<int>, decoded binary")

@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import io
 import os
+import sys
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from itertools import filterfalse
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -79,9 +83,28 @@ def clean() -> None:
         where.getFileSystem(sc._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def tidy() -> None:
+    """Gives what a finished task freed back to the system: a worker lives on and would hold it beside the next
+    stage's workers."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if sys.platform.startswith("linux"):
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except (OSError, AttributeError):  # another C library, which has no such call
+            pass
+
+
 def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
     ship(df.sparkSession)
-    return df.mapInArrow(fn, schema)
+
+    def run(batches):
+        try:
+            yield from fn(batches)
+        finally:
+            tidy()
+
+    return df.mapInArrow(run, schema)
 
 
 def text_of(column: str = "text"):
@@ -145,6 +168,15 @@ class Memo(dict):
         self[key] = found
         return found
 
+    def unknown(self, keys: Iterable) -> list:
+        """Of the keys, those that neither generation has; the older one's come into this one."""
+        fresh = list(filterfalse(self.__contains__, keys))
+        if self.old:
+            for key in filter(self.old.__contains__, fresh):
+                self[key] = self.old[key]
+            fresh = list(filterfalse(self.__contains__, fresh))
+        return fresh
+
     def turn(self) -> None:
         if len(self) > self.most:
             self.old = dict(self)

@@ -15,7 +15,9 @@ from __future__ import annotations
 
 import os
 import re
+import sys
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +31,7 @@ OPEN_BINS = 4096
 #: Bytes of ids of the pieces that are offered longest first, together.
 LOOK = 16 << 20
 #: Words, and their parts, whose ids a worker remembers, twice at most.
-WORDS, PARTS = 150_000, 250_000
+WORDS, PARTS = 50_000, 200_000
 
 
 class BestFit:
@@ -81,15 +83,17 @@ def byte_letters() -> list[str]:
 
 
 class WordEncoder:
-    """The ids of a text by the `tokenizers` library, word by word: this vocabulary's normaliser and splitter
-    drop white space and never look across it, so a text's ids are those of its words in turn. Words of common
-    Latin characters are lower-cased and split here and only their parts go to the library's model, which saves
-    most of its time; all others, and what may hold a special token, go through the whole library."""
+    """The ids of a text by the `tokenizers` library, part by part: this vocabulary's normaliser and splitter
+    drop white space and never look across it. A text of common Latin characters is lower-cased and split here and
+    only its parts, which repeat and are remembered, go to the library's model, which saves most of its time. In other
+    texts that holds of their words one by one, and words with other characters, or that may hold a special token, go
+    through the whole library."""
 
-    #: Characters that lower-casing and composition treat one by one, and that are no white space.
+    #: Characters that lower-casing and composition treat one by one; white space apart.
     SIMPLE = re.compile("[!-~\u00c0-\u012f\u0131-\u017f]*")
+    LINES = re.compile("[ \n!-~\u00c0-\u012f\u0131-\u017f]*")
     #: Fixed value: the vocabulary's own splitting pattern, for those characters.
-    PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u017f]+|[0-9]|[^a-z\u00df-\u00f6\u00f8-\u017f0-9]+")
+    PARTS = re.compile("[a-z\u00df-\u00f6\u00f8-\u017f]+|[0-9]|'(?:s|t|re|ve|m|ll|d)|[^ \na-z\u00df-\u00f6\u00f8-\u017f0-9]+")
 
     def __init__(self, blob: bytes):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -102,20 +106,30 @@ class WordEncoder:
     def _part(self, part: str) -> bytes:
         if not part.isascii():
             part = "".join([self.letters[b] for b in part.encode()])
-        return np.array([t.id for t in self.model.tokenize(part)], "<u4").tobytes()
+        return _little([t.id for t in self.model.tokenize(part)])
 
     def _word(self, word: str) -> bytes:
         if self.SIMPLE.fullmatch(word) and "<|" not in word:
             return b"".join(map(self.parts.__getitem__, self.PARTS.findall(word.lower())))
-        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+        return _little(self.tokenizer.encode(word, add_special_tokens=False).ids)
 
     def __call__(self, text: str) -> bytes:
-        out = b"".join(map(self.words.__getitem__, text.replace("\n", " ").split(" ")))
-        self.words.turn()
+        if self.LINES.fullmatch(text) and "<|" not in text:
+            out = b"".join(map(self.parts.__getitem__, self.PARTS.findall(text.lower())))
+        else:
+            out = b"".join(map(self.words.__getitem__, text.replace("\n", " ").split(" ")))
+            self.words.turn()
         self.parts.turn()
         return out
 
 
+def _little(ids: list[int]) -> bytes:
+    held = array("I", ids)
+    if sys.byteorder == "big":
+        held.byteswap()
+    return held.tobytes()
+
+
 def kept_encoder(blob: bytes) -> WordEncoder:
     if (key := ("words", zlib.crc32(blob), len(blob))) not in KEPT:
         KEPT[key] = WordEncoder(blob)

@@ -39,8 +39,7 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    encoded = byte_bpe.encode(documents(spark, sf_dir), vocabulary, public_tokenizers.PATTERN)
-    both = byte_bpe.decode(encoded, vocabulary)
+    both = byte_bpe.encode(documents(spark, sf_dir), vocabulary, public_tokenizers.PATTERN, decoded=True)
     ids = F.array_join(F.col("ids").cast("array<string>"), " ")
     return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
