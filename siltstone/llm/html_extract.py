@@ -2,23 +2,29 @@
 
 Markup is stripped to lines, one per block of the page; scripts, styles and other raw elements go, and lines inside
 menus, headers, footers, sidebars, notices, adverts, forms or reader comments (by element, role, or the words of
-class and id, unless it holds an article or most of the page's text) have no text to count. The text lengths of lines, without those of links, are summed over sliding
-windows. Where the sum surges from nothing the text begins, where it dives to nothing it ends, and what stands
-between is kept, short lines too. A page that marks its article, with half of its text or more in it, has a gap on both sides of it: the surge and the
-dive are then the first and the last line inside, so short headings and closing lines aren't lost. Else unwanted
-lines are left out before the windows are summed, the runs between surge and dive are weighed by their text, and from
-the first to the last of the heavy ones all is kept, lists of links between them too, with the headings just above.
+class and id, unless it holds an article or most of the page's text) are left out, so they open no gap. Of the lines
+that are left, the text lengths, without those of links, are summed over sliding windows. A stretch of windows that
+hold text is the text's if it surges to SURGE (or to the page's own highest sum, if that is less): it begins at the
+line from which its windows rise from nothing and ends where they dive to nothing. Stretches are weighed by their text;
+from the first to the last of the heavy ones all is kept, lists of links between them too, and headings just above.
+
+Elements `article` and `main` are evidence that weighs lines, on pages where they hold half of the text or more: a line
+inside counts one at least, and one outside a quarter of its length, and nothing if that is under OUTSIDE. A long passage
+outside them is kept, then, as a stretch like any other; a line that counts nothing is left out between the stretches.
 
 In a line, character references are decoded and white space becomes one space; empty lines go; lines are joined by
-\\n in page order. Null html counts as empty; a page without text gives an empty string. Very long pages are read
-whole, in time linear in their length. Repeated rows and identifiers are extracted row by row; an empty table gives
-an empty one. Other columns of the input are left out.
+\\n in page order. Null html counts as empty; a page without text gives an empty string. A tag ends at its `>`, or before
+the next `<` outside quotes, which count only after `=`. Very long pages are read whole, in time linear in their length.
+Repeated rows and identifiers are extracted row by row; an empty table gives an empty one. Other columns of the input
+are left out.
 """
 
 from __future__ import annotations
 
+import functools
 import html as _html
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -28,14 +34,17 @@ from pyspark.sql import functions as F
 from .common import arrow_map, text_of
 
 WINDOW = 3
-#: Text of a window from which a surge is one, in pages that mark no article.
+#: Text of a window from which a surge is one.
 SURGE = 40
+#: The least that a line outside a page's article counts, a quarter of its length; below that it counts nothing.
+OUTSIDE = 15
 #: Text of a run that is kept besides the heaviest.
 HEAVY = 120
-#: Text that an element beside an article has to hold so that its name doesn't blank it.
+#: Text that an element has to hold so that its name doesn't blank it.
 WRAPPED = 240
 
-_TOKEN = re.compile(r"<!--.*?(?:--!?>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([A-Za-z][^\s/>]*)([^>]*)>", re.S)
+_NAME = re.compile(r"(/?)([A-Za-z][^\s/><]*)")
+_PLAIN = re.compile(r"[^<>\"']*")
 _ATTR = re.compile(r"\b(class|id|role|aria-label|hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
@@ -55,6 +64,7 @@ AFTER = frozenset("open opened closed on off enabled disabled".split())
 #: An open element that one of these closes if it is still open.
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 CLOSES |= {t: {"p"} for t in BLOCK if t not in CLOSES}
+CLOSABLE = frozenset().union(*CLOSES.values())
 #: What stops that search.
 SCOPE = frozenset("article aside blockquote body center details dialog div fieldset figure footer form header html main nav section table ul ol dl".split())
 
@@ -80,6 +90,69 @@ def _unwanted(tag: str, attributes: str, in_article: bool) -> tuple[bool, bool]:
     return False, named
 
 
+class _Tags:
+    """The tags of a page, in one scan forward."""
+
+    def __init__(self, page: str):
+        self.page, self.size = page, len(page)
+        self.without: set[str] = set()  # quotes that don't come any more
+
+    def end(self, at: int) -> int:
+        """Where the attributes that begin at `at` end: at `>`, before the next `<`, or with the page."""
+        page = self.page
+        while True:
+            plain = _PLAIN.match(page, at)
+            at = plain.end()
+            if at >= self.size or page[at] in "<>":
+                return at
+            quote = page[at]
+            at += 1
+            if quote not in self.without and plain[0].rstrip().endswith("="):
+                close = page.find(quote, at)
+                if close < 0:
+                    self.without.add(quote)
+                else:
+                    at = close + 1
+
+    def __iter__(self):
+        """(text before, whether it closes, tag or empty, attributes)"""
+        page, at, size, begin = self.page, 0, self.size, 0
+        last = page.rfind(">")  # what opens behind it is no tag
+        while (lt := page.find("<", at)) >= 0 and lt < last:
+            after = page[lt + 1 : lt + 2]
+            if after in ("!", "?"):
+                yield page[begin:lt], "", "", ""
+                if page.startswith("<!--", lt):
+                    close = page.find("-->", lt + 4)
+                    at = begin = size if close < 0 else close + 3
+                elif page.startswith("<![CDATA[", lt):
+                    close = page.find("]]>", lt + 9)
+                    yield page[lt + 9 : size if close < 0 else close], "", "", ""
+                    at = begin = size if close < 0 else close + 3
+                else:
+                    close = page.find(">", lt)
+                    at = begin = size if close < 0 else close + 1
+                continue
+            m = _NAME.match(page, lt + 1)
+            if not m:
+                at = lt + 1
+                continue
+            stop = self.end(m.end())
+            yield page[begin:lt], m[1], m[2].lower(), page[m.end() : stop]
+            at = begin = stop + 1 if page[stop : stop + 1] == ">" else stop
+            if not m[1] and (tag := m[2].lower()) in RAW and not (tag in ("svg", "math") and page[m.end() : stop].rstrip().endswith("/")):
+                close = _ends(tag).search(page, at) if tag not in self.without else None
+                if not close:
+                    self.without.add(tag)
+                at = begin = close.end() if close else size
+        yield page[begin:], "", "", ""
+
+
+@functools.cache
+def _ends(tag: str) -> re.Pattern:
+    return re.compile(rf"</{tag}\s*>", re.I)
+
+
 def lines_of(page: str) -> list[tuple[str, int, bool, bool, bool]]:
     """(text, characters outside links, is unwanted, stands in an article, is a heading) of each block."""
     out: list[tuple[str, int, bool, bool, bool]] = []
@@ -87,6 +160,8 @@ def lines_of(page: str) -> list[tuple[str, int, bool, bool, bool]]:
     linked: list[str] = []
     stack: list[tuple[str, bool, bool, bool, int]] = []  # tag, unwanted, in article, in link, place in named
     state = ["", False, False, False, 0]
+    opened: Counter = Counter()  # elements in the stack, by tag
+    bounds: list[int] = []  # places in the stack of elements that a new block may close or that stop the search
     # Elements that a class or id calls unwanted: [the one around it, text below it, holds an article]; 0 is the page.
     named: list[list] = [[0, 0, False]]
     within: list[int] = []  # of each line, the innermost of these
@@ -102,66 +177,52 @@ def lines_of(page: str) -> list[tuple[str, int, bool, bool, bool]]:
             parts.clear()
             linked.clear()
 
-    def restore() -> None:
+    def close_from(k: int) -> None:
+        """The elements from place k of the stack on are closed."""
+        for t, *_ in stack[k:]:
+            opened[t] -= 1
+        del stack[k:]
+        while bounds and bounds[-1] >= k:
+            bounds.pop()
         state[:] = list(stack[-1]) if stack else ["", False, False, False, 0]
 
-    def put(raw: str) -> None:
+    for raw, closing, tag, attributes in _Tags(page):
         if raw:
             text = _html.unescape(raw) if "&" in raw else raw
             parts.append(text)
             if state[3]:
                 linked.append(text)
-
-    at, size = 0, len(page)
-    while at < size:
-        m = _TOKEN.search(page, at)
-        if not m:
-            put(page[at:])
-            break
-        put(page[at : m.start()])
-        at = m.end()
-        closing, tag, attributes = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
         if not tag:
-            if m[0].startswith("<![CDATA["):
-                put(m[0][9:-3] if m[0].endswith("]]>") else m[0][9:])
-            continue
-        tag = tag.lower()
-        if tag == "br":
-            put(" ")
             continue
-        if not closing and tag in RAW:
-            if not (attributes.rstrip().endswith("/") and tag in ("svg", "math")):
-                end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
-                at = end.end() if end else size
-            put(" ")
+        if tag == "br" or tag in RAW and not closing:
+            parts.append(" ")
             continue
         if closing:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    if any(t in BLOCK for t, *_ in stack[k:]):
-                        flush()
-                    del stack[k:]
-                    restore()
-                    break
-            else:
-                if tag in BLOCK:
+            if opened[tag]:
+                k = len(stack) - 1
+                while stack[k][0] != tag:
+                    k -= 1
+                if any(t in BLOCK for t, *_ in stack[k:]):
                     flush()
+                close_from(k)
+            elif tag in BLOCK:
+                flush()
             continue
         if tag in BLOCK:
             flush()
             if closes := CLOSES.get(tag):
-                for k in range(len(stack) - 1, -1, -1):
+                for k in reversed(bounds):
                     if stack[k][0] in closes:
-                        del stack[k:]
-                        restore()
+                        close_from(k)
                         break
                     if stack[k][0] in SCOPE:
                         break
             if tag in ("article", "main") and stack and not stack[-1][2]:
                 # elements that should have been closed before the article
-                while stack and (stack[-1][1] or stack[-1][4]) and stack[-1][0] in ("nav", "ul", "ol", "li", "a", "p", "span", "b", "i"):
-                    stack.pop()
-                restore()
+                k = len(stack)
+                while k and (stack[k - 1][1] or stack[k - 1][4]) and stack[k - 1][0] in ("nav", "ul", "ol", "li", "a", "p", "span", "b", "i"):
+                    k -= 1
+                close_from(k)
         if tag in VOID:
             continue
         bad, by_name = _unwanted(tag, attributes, state[2])
@@ -171,8 +232,11 @@ def lines_of(page: str) -> list[tuple[str, int, bool, bool, bool]]:
             at_name = len(named) - 1
         if tag in ("article", "main"):
             named[at_name][2] = True
+        if tag in CLOSABLE or tag in SCOPE:
+            bounds.append(len(stack))
+        opened[tag] += 1
         stack.append((tag, state[1] or bad, state[2] or tag in ("article", "main"), state[3] or tag == "a", at_name))
-        restore()
+        state[:] = list(stack[-1])
     flush()
     if len(named) == 1:
         return out
@@ -182,65 +246,53 @@ def lines_of(page: str) -> list[tuple[str, int, bool, bool, bool]]:
         around, length, article = named[k]
         named[around][1] += length
         named[around][2] |= article
-    # A name alone doesn't blank an article or most of the page's text (beside an article, a line or two are no wrapper).
-    least = named[0][1] // 2 + 1
-    if named[0][2]:
-        least = max(least, WRAPPED)
+    # A name alone doesn't blank an article or most of the page's text (a line or two are no wrapper).
+    least = max(named[0][1] // 2 + 1, WRAPPED)
     gone = [False]
     for around, length, article in named[1:]:
         gone.append(gone[around] or not article and length < least)
     return [(text, n, bad or gone[k], article, heading) for (text, n, bad, article, heading), k in zip(out, within)]
 
 
-def main_text(page: str | None) -> str:
-    lines = lines_of(page or "")
+def _weighed(lines: list[tuple[str, int, bool, bool, bool]]) -> tuple[np.ndarray, np.ndarray]:
+    """What each line counts, and whether it may be kept when it counts nothing."""
+    length, marked = np.array([x[1] for x in lines]), np.array([x[3] for x in lines])
+    if not marked.any() or 2 * length[marked].sum() < length.sum():
+        return length, np.ones(len(lines), bool)
+    outside = np.where(length // 4 >= OUTSIDE, length // 4, 0)
+    return np.where(marked, np.maximum(length, 1), outside), marked
+
+
+def main_text(page: str | None, window: int = WINDOW) -> str:
+    lines = [x for x in lines_of(page or "") if not x[2]]
     if not lines:
         return ""
-    wanted = np.array([not x[2] for x in lines])
-    marked = np.array([x[3] for x in lines]) & wanted
-    length = np.array([x[1] for x in lines]) * wanted
-    keep = np.zeros(len(lines), bool)
-    if marked.any() and 2 * (length * marked).sum() >= length.sum():
-        # Only the article's own lines have length, so the window sums surge at its first line and dive at its last.
-        begins, ends = _surges(np.maximum(length, 1) * marked, 1, 1)
-        for a, z in zip(begins, ends):
-            keep[a:z] = True
-        keep &= marked
-    else:
-        # Unwanted lines are left out, so they open no gap.
-        rows = np.flatnonzero(wanted)
-        length = length[rows]
-        begins, ends = _surges(length, WINDOW, SURGE)
-        if not begins:
-            begins, ends = _surges(length, 1, 1)
-        if not begins:
-            return ""
-        weigh = np.array([int(length[a:z].sum()) for a, z in zip(begins, ends)])
-        heavy = np.flatnonzero(weigh >= min(weigh.max(), HEAVY))
-        a, z = begins[heavy[0]], ends[heavy[-1]]
-        while a and lines[rows[a - 1]][4]:
-            a -= 1
-        keep[rows[a:z]] = True
-    return "\n".join(lines[i][0] for i in np.flatnonzero(keep))
-
-
-def _surges(length: np.ndarray, window: int, least: int) -> tuple[list[int], list[int]]:
-    """Line ranges from a surge (the sum of the window that begins there reaches `least`, and its first line has
-    text) to the dive (a window of lines without text)."""
-    n = len(length)
-    total = np.concatenate([[0], np.cumsum(length)])
-    sums = [int(total[min(n, i + window)] - total[i]) for i in range(n)]
-    begins, ends, i = [], [], 0
-    while i < n:
-        if length[i] and sums[i] >= least:
-            j = i
-            while j < n and sums[j]:
-                j += 1
-            begins.append(i)
-            ends.append(j)
-            i = j
-        else:
-            i += 1
+    counts, sure = _weighed(lines)
+    begins, ends = _stretches(counts, window, SURGE)
+    if not begins:
+        return ""
+    weigh = np.array([int(counts[a:z].sum()) for a, z in zip(begins, ends)])
+    heavy = np.flatnonzero(weigh >= min(weigh.max(), HEAVY))
+    a, z = begins[heavy[0]], ends[heavy[-1]]
+    while a and lines[a - 1][4] and sure[a - 1]:
+        a -= 1
+    return "\n".join(lines[i][0] for i in range(a, z) if sure[i] or counts[i])
+
+
+def _stretches(counts: np.ndarray, window: int, least: int) -> tuple[list[int], list[int]]:
+    """Line ranges of the stretches of windows that hold text, those in which a window's sum surges to `least` or to
+    the highest sum of all: from the first line with text to the last before the dive."""
+    n = len(counts)
+    total = np.concatenate([[0], np.cumsum(counts)])
+    sums = total[np.minimum(np.arange(n) + window, n)] - total[:n]
+    least = min(least, int(sums.max(initial=0)))
+    begins, ends = [], []
+    held = np.flatnonzero(counts)
+    cuts = np.flatnonzero(np.diff(held) > window)  # from a line to the next with text, a whole window holds none
+    for first, last in zip(np.r_[held[:1], held[cuts + 1]].tolist(), np.r_[held[cuts], held[-1:]].tolist()):
+        if least and sums[first : last + 1].max() >= least:
+            begins.append(first)
+            ends.append(last + 1)
     return begins, ends
 
 

@@ -52,11 +52,37 @@ def test_odd_pages():
     assert len(H.main_text("<article>" + "<p>word word</p>" * 20_000 + "</article>").split("\n")) == 20_000
 
 
-def test_surges():
+def test_stretches():
     import numpy as np
 
-    assert H._surges(np.array([0, 50, 3, 0, 9, 0, 0, 0, 60, 0, 0, 0]), 3, 40) == ([1, 8], [5, 9])
-    assert H._surges(np.array([5, 5]), 3, 40) == ([], [])
+    assert H._stretches(np.array([0, 50, 3, 0, 9, 0, 0, 0, 60, 0, 0, 0]), 3, 40) == ([1, 8], [5, 9])
+    assert H._stretches(np.array([3, 0, 0, 0, 60]), 3, 40) == ([4], [5])
+    assert H._stretches(np.array([5, 5]), 3, 40) == ([0], [2])  # the page's own highest sum
+    assert H._stretches(np.array([0, 0]), 3, 40) == ([], [])
+
+
+def test_the_windows_choose():
+    text = [f"This is a long paragraph of the main text, number {k}, with a good many words in it." for k in range(6)]
+    links = "".join(f'<li><a href="/{k}">Link {k}</a></li>' for k in range(4))
+    body = "".join(f"<p>{x}</p>" for x in text)
+    for tag in ("article", "div"):
+        page = f"<body><div>12 March</div><ul>{links}</ul><{tag}>{body}</{tag}><ul>{links}</ul><div>Page 1 of 2</div></body>"
+        assert H.main_text(page).split("\n") == text
+        # a window over the whole page sees no surge and no dive in it: the short lines around the text come in
+        assert H.main_text(page, window=100) != H.main_text(page) or tag == "article"
+    outside = "A passage outside the article that is as long as a paragraph. " * 6
+    page = f"<body><article>{body}</article><div>Short line.</div><div>{outside}</div></body>"
+    assert H.main_text(page).split("\n") == [*text, outside.strip()]
+
+
+def test_linear_in_hostile_pages():
+    import time
+
+    for unit in ("<a ", '<a "', "<a b='", "<b>", "</i>", "<b></i>", "<p><b>", "<!", "<svg>", "<svg/>", "&", "<a b=\"", "<dd><b>", "x<"):
+        page = "<div><p><div>" + unit * ((2_000_000 if unit == "<a " else 400_000) // len(unit)) + ">"
+        began = time.process_time()
+        H.main_text(page)
+        assert time.process_time() - began < 30, unit
 
 
 def test_pages_against_the_article_element(spark, sf):
@@ -65,6 +91,8 @@ def test_pages_against_the_article_element(spark, sf):
 
     rows = spark.read.parquet(f"{sf}/pages.parquet").collect()
     got = {r.page_id: r.text for r in H.extract(spark.read.parquet(f"{sf}/pages.parquet")).collect()}
+    divs = spark.read.parquet(f"{sf}/pages.parquet").selectExpr("page_id", "url", "replace(replace(html, '<article>', '<div>'), '</article>', '</div>') html")
+    assert {r.page_id: r.text for r in H.extract(divs).collect()} == got  # the tag doesn't decide
     for r in rows:
         inside = r.html.split("<article>")[1].split("</article>")[0]
         want = [" ".join(html.unescape(re.sub(r"<[^>]*>", " ", x)).split()) for x in re.split(r"</?(?:p|h1)>", inside)]
@@ -76,3 +104,13 @@ def test_rows(spark):
     df = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
     assert sorted((tuple(r) for r in H.extract(df).collect()), key=str) == [(1, "u", "x"), (1, "u", "x"), (None, None, "")]
     assert H.extract(df.limit(0)).count() == 0
+
+
+def test_the_query_against_the_extractor(spark, sf):
+    from siltstone.llm import queries
+
+    rows = {r.page_id: r for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}
+    out = queries.op2_html_extraction(spark, sf).collect()
+    assert sorted(r.page_id for r in out) == sorted(rows)
+    for r in out:
+        assert (r.url, r.text, r.n_chars) == (rows[r.page_id].url, H.main_text(rows[r.page_id].html), len(r.text))
