@@ -29,14 +29,14 @@ PHRASES = {"mit license": "mit", "apache license": "apache", "general public lic
 # Wordings of public licences and of their usual notices, with markup.
 TEMPLATES = {
     "mit-notice": "<<beginOptional>>this <<var;max=2>> is<<endOptional>> <<beginOptional>>released<<endOptional>> <<beginOptional>>licensed<<endOptional>> <<beginOptional>>distributed<<endOptional>> under the <<beginOptional>>terms of the<<endOptional>> mit license",
-    "apache-2.0-notice": "licensed under the apache license <<beginOptional>>version<<endOptional>> 2 0",
+    "apache-2.0-notice": "licensed under the apache license version 2 0",
     "gpl-3.0-notice": "licensed under <<beginOptional>>the terms of<<endOptional>> the gnu general public license <<beginOptional>>as published by the free software foundation either<<endOptional>> version 3 <<beginOptional>>of the license or at your option any later version<<endOptional>>",
     "cc-by-nc-4.0-notice": "licensed under <<beginOptional>>a creative commons attribution noncommercial<<endOptional>> <<beginOptional>>cc by nc<<endOptional>> 4 0 <<beginOptional>>international license<<endOptional>>",
     "mit-text": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice <<beginOptional>>including the next paragraph<<endOptional>> shall be included in all copies or substantial portions of the software the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall <<var;max=12>> be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software",
-    "isc-text": "permission to use copy modify and <<beginOptional>>or<<endOptional>> distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies the software is provided as is and <<var;max=8>> disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness",
-    "bsd-text": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met <<beginOptional>>1<<endOptional>> redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer <<beginOptional>>2<<endOptional>> redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution <<beginOptional>><<beginOptional>>3<<endOptional>> neither the name of <<var;max=12>> nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission<<endOptional>>",
+    "isc-text": "permission to use copy modify and <<beginOptional>>or<<endOptional>> distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies the software is provided as is and <<var;max=8>> disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness in no event shall <<var;max=8>> be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software",
+    "bsd-text": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met <<beginOptional>>1<<endOptional>> redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer <<beginOptional>>2<<endOptional>> redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution <<beginOptional>><<beginOptional>>3<<endOptional>> neither the name of <<var;max=12>> nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission<<endOptional>> this software is provided by <<var;max=12>> as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed in no event shall <<var;max=12>> be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use data or profits or business interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage",
     "apache-2.0-header": "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at <<beginOptional>>http www apache org licenses license 2 0<<endOptional>> unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied see the license for the specific language governing permissions and limitations under the license",
-    "gpl-header": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version <<var;max=1>> of the license or at your option any later version",
+    "gpl-header": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version <<var;max=1>> of the license or at your option any later version this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu general public license for more details you should have received a copy of the gnu general public license along with this program <<beginOptional>>if not see <<beginOptional>>http<<endOptional>> <<beginOptional>>https<<endOptional>> www gnu org licenses<<endOptional>>",
 }
 
 _TABLE = bytes(c + 32 if 0x41 <= c <= 0x5A else c if 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A or c >= 0x80 else 0x20 for c in range(256))
@@ -47,6 +47,11 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").translate(_TABLE).split()
 
 
+class _Every:
+    def __contains__(self, word) -> bool:
+        return True
+
+
 class Template:
     """Steps: words (bytes), any words (int: how many at most), optional groups (lists of steps). The automaton's
     states are places in the flat program that they are compiled to."""
@@ -82,6 +87,9 @@ class Template:
             else:
                 runs.append([])
                 before += step if isinstance(step, int) else self._longest(step)
+        # words that a match can begin with; every word if any may stand first
+        steps = [self.program[i] for i in self._follow({0}) if i < len(self.program)]
+        self.firsts = _Every() if ("any",) in steps else frozenset(x[1] for x in steps if x[0] == "word")
         if not self.anchor:
             raise ValueError(f"{label}: no mandatory wording")
         self.anchor = b" " + self.anchor + b" "
@@ -128,11 +136,12 @@ class Template:
 
     def spans(self, joined: bytes, words: list[bytes]) -> list[tuple[int, int]]:
         """Leftmost, longest, apart from each other."""
-        out, pos, done = [], joined.find(self.anchor), 0
+        out, pos, done, anchor_at, last = [], joined.find(self.anchor), 0, 0, 0
         while pos >= 0:
-            anchor_at = joined.count(b" ", 0, pos)
+            anchor_at += joined.count(b" ", last, pos)
+            last = pos
             for start in range(max(done, anchor_at - self.lead), anchor_at + 1):
-                if (end := self.match(words, start)) is not None and end > anchor_at:
+                if words[start] in self.firsts and (end := self.match(words, start)) is not None and end > anchor_at:
                     out.append((start, end))
                     done = end
                     break
@@ -142,19 +151,12 @@ class Template:
 
 def places(joined: bytes, phrase: bytes) -> list[int]:
     """The first words of all places of a phrase in ` words ... `."""
-    out, pos = [], joined.find(phrase)
+    out, pos, seen, last = [], joined.find(phrase), 0, 0
     while pos >= 0:
-        out.append(pos)
-        pos = joined.find(phrase, pos + 1)
-    return [joined.count(b" ", 0, p) for p in out] if len(out) < 8 else _counted(joined, out)
-
-
-def _counted(joined: bytes, at: list[int]) -> list[int]:
-    out, seen, last = [], 0, 0
-    for p in at:
-        seen += joined.count(b" ", last, p)
-        last = p
+        seen += joined.count(b" ", last, pos)
+        last = pos
         out.append(seen)
+        pos = joined.find(phrase, pos + 1)
     return out
 
 

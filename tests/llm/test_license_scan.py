@@ -51,6 +51,7 @@ def test_automaton_equals_a_regular_expression(markup):
 def test_templates():
     for label, markup in L.TEMPLATES.items():
         plain = re.sub(r"<<var;max=\d+>>", "some name", re.sub(r"<<(begin|end)Optional>>", "", markup))
+        plain = re.sub(r"http https", "https", plain)
         plain = re.sub(r"some name(?= of the license or)", "3", plain)
         text = "before it " + plain.upper().replace(" ", ", ") + " after"
         if label == "gpl-header":
@@ -66,6 +67,30 @@ def test_wording_must_be_exact():
     assert not t.spans(b" " + b" ".join(w) + b" ", w)
 
 
+@pytest.mark.parametrize("label, last", [("mit-text", "dealings in the software"), ("bsd-text", "of such damage"), ("isc-text", "performance of this software"), ("gpl-header", "along with this program")])
+def test_the_whole_wording_is_mandatory(label, last):
+    t = L.Template(label, L.TEMPLATES[label])
+    plain = re.sub(r"<<beginOptional>>if not see.*", "", L.TEMPLATES[label])
+    plain = re.sub(r"<<(begin|end)Optional>>", "", re.sub(r"<<var;max=\d+>>", "3", plain)).strip()
+    assert plain.endswith(last)
+    for text, held in ((plain, True), (plain[: -len(last)], False), (plain.replace("warranty of", "x").replace("fitness for a particular", "x").replace("consequential", "x").replace("without limitation", "x"), False)):
+        w = L.words_of(text)
+        assert bool(t.spans(b" " + b" ".join(w) + b" ", w)) == held
+
+
+def test_linear_in_repeated_anchors():
+    import time
+
+    for label, markup in L.TEMPLATES.items():
+        t = L.Template(label, markup)
+        w = t.anchor.split() * (5_000_000 // len(t.anchor))
+        joined = b" " + b" ".join(w) + b" "
+        began = time.process_time()
+        t.spans(joined, w)
+        L.places(joined, t.anchor)
+        assert time.process_time() - began < 30, label
+
+
 def test_notices(spark):
     rows = [(1, "Released under the MIT License."), (2, "Licensed under the Apache License, Version 2.0."), (3, "This work is licensed under the GNU General Public License, version 3."), (4, "Licensed under CC BY-NC 4.0."), (5, "no licence at all"), (6, "the mit license mit license")]
     got = {r.doc_id: (sorted({m.label for m in r.matches}), r.score) for r in L.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
