@@ -11,7 +11,7 @@ the row that stays, the rows of large groups dealt out by salt. Rows that differ
 grouped by their whole texts instead.
 
 Texts: null counts as empty, and equal texts are those identical after no change. `keep` is "min" or "max": which
-identifier stays (for "max" the index holds negated identifiers). Rows that repeat an identifier and its text
+identifier stays (for "max" the index holds complements, -1 - identifier). Rows that repeat an identifier and its text
 count one by one and are all marked as that row is. A null identifier never stays beside another; a group of null
 identifiers only has a null keep_id and stays. An empty table gives an empty one. Other columns of the input are
 left out.
@@ -162,21 +162,27 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     digest_bytes). The index and the verification run when this is called."""
     if keep not in ("min", "max"):
         raise ValueError("keep is min or max")
-    sign = 1 if keep == "min" else -1
+    turned = (lambda c: c) if keep == "min" else F.bitwise_not  # its own inverse, without overflow
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
     rows = rows.withColumn("digest", F.unhex(F.sha2("text", 256)).substr(1, digest_bytes))
     keyed = rows.select("doc_id", "digest")
-    # keyed by the sign: the smallest of what the index holds is the identifier that stays
-    entries = keyed.select("digest", F.coalesce(F.col("doc_id") * sign, F.lit(_NONE)).alias("first"), F.lit(1).cast("long").alias("n"))
+    # the smallest of what the index holds is the identifier that stays
+    entries = keyed.select("digest", F.coalesce(turned(F.col("doc_id")), F.lit(_NONE)).alias("first"), F.lit(1).cast("long").alias("n"))
     schema = "digest binary, first long, n long"
     runs = arrow_map(entries, lambda it: _index(it, digest_bytes, memtable, fan_in), schema)
     hits = runs.groupBy("digest").agg(F.min("first").alias("first"), F.sum("n").alias("n")).filter("n > 1")
-    hits = materialize(hits.select("digest", F.when(F.col("first") != _NONE, F.col("first") * sign).alias("keep_id"), F.col("n").alias("group_size")), "dedup-hits")
+    # _NONE is also what the last of all identifiers is held as: if rows have it, their digests say which is meant
+    last = keyed.filter(F.col("doc_id") == F.lit(_NONE if keep == "min" else -1 - _NONE)).select("digest")
+    nobody = F.col("first") == _NONE
+    if not last.isEmpty():
+        hits = hits.join(last.distinct().withColumn("__last", F.lit(True)), "digest", "left")
+        nobody = nobody & F.col("__last").isNull()
+    hits = materialize(hits.select("digest", F.when(~nobody, turned(F.col("first"))).alias("keep_id"), F.col("n").alias("group_size")), "dedup-hits")
     placed = join_hot(keyed, hits, "digest", "group_size")
     single = F.col("group_size").isNull()
     placed = placed.select("doc_id", F.when(single, F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"), F.when(single, F.lit(1)).otherwise(F.col("group_size")).cast("long").alias("group_size"), "digest")
     placed = materialize(placed, "dedup-placed")
-    differing = _differing(rows, hits, placed)
+    differing = _differing(rows, hits)
     if differing.isEmpty():
         return _marked(placed)
     # Equal digests of different texts: their rows are grouped by their texts, the hottest joined by broadcast.
@@ -187,7 +193,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return _marked(placed.join(bad, "digest", "left_anti").select(*exact.columns).unionByName(exact))
 
 
-def _differing(rows: DataFrame, hits: DataFrame, placed: DataFrame) -> DataFrame:
+def _differing(rows: DataFrame, hits: DataFrame) -> DataFrame:
     """Rows of groups whose text isn't the text of the row that stays. Only rows that pass the filter over all
     hits have their texts read into the shuffle."""
     bits = FILTER_BITS
@@ -201,16 +207,14 @@ def _differing(rows: DataFrame, hits: DataFrame, placed: DataFrame) -> DataFrame
             if ok.any():
                 yield b.filter(pa.array(ok))
 
-    texts = arrow_map(rows.select("doc_id", "text", "digest"), passing, "doc_id long, text string, digest binary")
+    # rows that repeat an identifier and its text are told apart by where they were read
+    salt = F.xxhash64("doc_id", F.spark_partition_id())
+    texts = arrow_map(rows.select("doc_id", "text", "digest", salt.alias("salt")), passing, "doc_id long, text string, digest binary, salt long")
+    with_text = join_hot(texts, hits, "digest", "group_size").filter("group_size is not null")
     salts = F.ceil(F.col("group_size") / SALT_ROWS)
-    member = placed.filter("group_size > 1").select(F.col("doc_id").alias("m_id"), "digest", "keep_id", "group_size").distinct()
-    # one row per distinct member; its text by identifier and digest, both of which spread evenly
-    member = member.withColumnRenamed("digest", "m_digest")
-    with_text = texts.join(member, texts.doc_id.eqNullSafe(member.m_id) & (texts.digest == member.m_digest)).drop("m_id", "m_digest")
-    slot = F.pmod(F.xxhash64("doc_id"), salts).cast("long")
     stays = with_text.filter(F.col("doc_id").eqNullSafe(F.col("keep_id"))).dropDuplicates(["digest"])
     stays = stays.select(F.col("digest").alias("s_digest"), F.col("text").alias("s_text"), F.explode(F.sequence(F.lit(0).cast("long"), salts - 1)).alias("s_slot"))
-    others = with_text.select("doc_id", "digest", "text", slot.alias("slot"))
+    others = with_text.select("doc_id", "digest", "text", F.pmod("salt", salts).cast("long").alias("slot"))
     pairs = others.join(stays, (F.col("digest") == F.col("s_digest")) & (F.col("slot") == F.col("s_slot")), "left")
     return pairs.filter(~F.col("text").eqNullSafe(F.col("s_text"))).select("doc_id", "digest")
 

@@ -37,6 +37,20 @@ def test_many_collisions_and_a_hot_group(spark):
         assert sorted(((r.doc_id, r.keep_id, r.group_size, r.kept) for r in got), key=str) == brute(rows, max)
 
 
+@pytest.mark.parametrize("keep", ["min", "max"])
+def test_the_first_and_the_last_identifier(spark, keep):
+    least, most = -(2**63), 2**63 - 1
+    rows = [(least, "a"), (most, "a"), (most, "b"), (None, "b"), (None, "c"), (None, "c"), (least, "d"), (None, "d"), (3, "d"), (most, "e")]
+    got = exact_dedup.exact_dedup(spark.createDataFrame(rows, "doc_id long, text string"), keep=keep).collect()
+    assert sorted(((r.doc_id, r.keep_id, r.group_size, r.kept) for r in got), key=str) == brute(rows, min if keep == "min" else max)
+
+
+def test_one_row_that_repeats(spark):
+    rows = [(None, "the same row")] * 1500 + [(5, "another one")] * 1500 + [(i, f"text {i}") for i in range(1500)]
+    got = exact_dedup.exact_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), keep="max").collect()
+    assert sorted(((r.doc_id, r.keep_id, r.group_size, r.kept) for r in got), key=str) == brute(rows, max)
+
+
 def test_empty_table(none):
     assert exact_dedup.exact_dedup(none).count() == 0
 
