@@ -28,6 +28,8 @@ from .common import HOT_KEYS, arrow_map, materialize
 from .mph import HashIndex, mix
 
 SHARD_KEYS = 500_000
+#: Hashes that one group of a shard is asked at a time, about.
+QUESTIONS = 1_000_000
 BROADCAST_BYTES = 64 << 20
 _LAST = np.iinfo(np.int64).max
 _SPACE = b" \t\n\x0b\x0c\r"
@@ -114,7 +116,7 @@ def _rewrite(part: pa.RecordBatch, dropped: list, text_at: int, out_names: list[
     return pa.RecordBatch.from_arrays([columns[n] for n in out_names], names=out_names)
 
 
-def line_dedup(docs: DataFrame, min_chars: int = 10, id_col: str = "doc_id", text_col: str = "text", broadcast_bytes: int = BROADCAST_BYTES, shard_keys: int = SHARD_KEYS) -> DataFrame:
+def line_dedup(docs: DataFrame, min_chars: int = 10, id_col: str = "doc_id", text_col: str = "text", broadcast_bytes: int = BROADCAST_BYTES, shard_keys: int = SHARD_KEYS, questions: int = QUESTIONS) -> DataFrame:
     """The input's rows, their texts without the lines that a smaller document holds, with n_lines and n_dropped
     long. The index is built when this is called."""
     docs = docs.drop(*[c for c in ("n_lines", "n_dropped") if c in docs.columns and c not in (id_col, text_col)])
@@ -150,10 +152,10 @@ def line_dedup(docs: DataFrame, min_chars: int = 10, id_col: str = "doc_id", tex
                     yield _rewrite(part, dropped, text_at, out_names)
 
         return arrow_map(docs, run, schema)
-    return _routed(docs, keys, index, shards, min_chars, id_col, text_col, schema, out_names)
+    return _routed(docs, keys, index, shards, min_chars, id_col, text_col, schema, out_names, questions)
 
 
-def _routed(docs, keys, index, shards, min_chars, id_col, text_col, schema, out_names) -> DataFrame:
+def _routed(docs, keys, index, shards, min_chars, id_col, text_col, schema, out_names, questions) -> DataFrame:
     """The arrays stay in their shards and the hashes come to them. Lines to drop come back by the number of the row,
     as rows may share an identifier."""
     sc = docs.sparkSession.sparkContext
@@ -197,7 +199,13 @@ def _routed(docs, keys, index, shards, min_chars, id_col, text_col, schema, out_
         gone = held & (first != doc)
         return pa.table({"row": pa.array(left.column("row").to_numpy()[gone]), "line": pa.array(left.column("line").to_numpy()[gone])})
 
-    slices = 16  # of the questions to one shard, which each get its arrays
+    # A shard's questions are dealt to as many slices as keep each near QUESTIONS; each slice gets the shard's arrays.
+    # `n` counts the documents that hold a key, so the sum over a shard's keys is what it is asked, but for lines that
+    # a document repeats. The keys answered above aren't asked.
+    asks = {r.shard: r.n for r in keys.groupBy(F.pmod("hi", F.lit(shards)).alias("shard")).agg(F.sum("n").alias("n")).collect()}  # a row for each shard
+    for r in top:
+        asks[r.hi % shards] -= r.n
+    slices = max(1, -(-max(asks.values(), default=0) // questions))
     far = asked.filter("not known").withColumn("slice", F.pmod("sub", F.lit(slices)))
     copies = index.select(F.col("shard").cast("long").alias("shard"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(slices - 1).cast("long"))).alias("slice"), "blob")
     answered = far.groupBy("shard", "slice").cogroup(copies.groupBy("shard", "slice")).applyInArrow(answer, "row long, line long")

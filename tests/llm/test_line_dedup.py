@@ -47,6 +47,15 @@ def test_rows_that_share_an_identifier(spark, way):
     assert rows_of(line_dedup.line_dedup(df, **way)) == brute(rows)
 
 
+@pytest.mark.parametrize("way", [dict(), dict(broadcast_bytes=0), dict(broadcast_bytes=0, shard_keys=3, questions=5)])
+def test_hot_null_and_repeated_identifiers(spark, way, monkeypatch):
+    """A third of all rows has no identifier, a third repeats one, all with texts of their own; one line is in most."""
+    monkeypatch.setattr(line_dedup, "HOT_KEYS", 2)
+    rows = [(None if k % 3 == 0 else 5 if k % 3 == 1 else k, f"the line that most of them hold\nline of a pair number {k // 2}\na line of its own, {k}\nx") for k in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert rows_of(line_dedup.line_dedup(df, **way)) == brute(rows)
+
+
 def test_empty_table(none):
     assert line_dedup.line_dedup(none).count() == 0
     assert line_dedup.line_dedup(none, broadcast_bytes=0).count() == 0
