@@ -2,8 +2,8 @@
 
 A document's fingerprint has a bit set where more than half of its word shingles' hashes have it. Equal
 fingerprints are one from here on. Fingerprints within `radius` bits of each other are linked. To deal the work
-out, each goes to several tables by some of its bits: for an exact search, the bits fall into radius + 1 blocks,
-of which two linked fingerprints share one; of a wide fingerprint, tables take random bits, as many tables as a
+out, each goes to several tables by some of its bits: for an exact search, the bits fall into radius + g blocks,
+of which two linked fingerprints share g, and there is a table for each choice of g (g by the number of rows); of a wide fingerprint, tables take random bits, as many tables as a
 link at the radius needs to be found with the wanted probability.
 
 In a bucket, fingerprints are sorted by Gray rank, so that neighbours differ in few bits. Runs of neighbours form
@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -85,10 +86,20 @@ def fingerprints(docs: DataFrame, size: int = 4, seed: int = 42, words: int = 1,
     return arrow_map(docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text")), run, "doc_id long, code binary")
 
 
-def exact_tables(bits: int, radius: int) -> list[list[int]]:
-    """radius + 1 blocks of bits; codes within the radius agree on one of them."""
-    cuts = [round(k * bits / (radius + 1)) for k in range(radius + 2)]
-    return [list(range(a, b)) for a, b in zip(cuts, cuts[1:])]
+def exact_tables(bits: int, radius: int, rows: int = 0, alike: int = 128) -> list[list[int]]:
+    """The bits fall into radius + g blocks; codes within the radius agree on g of them at least, so there is a table
+    for each choice of g. More of them make longer keys: g is the least for which about `alike` or fewer of `rows`
+    unlike codes meet in a bucket (at most 3 and never more blocks than bits), a rule that is exact for any g."""
+    for g in (1, 2, 3):
+        blocks = radius + g
+        if blocks > bits:
+            break
+        cuts = [round(k * bits / blocks) for k in range(blocks + 1)]
+        parts = [list(range(a, b)) for a, b in zip(cuts, cuts[1:])]
+        tables = [[p for part in chosen for p in part] for chosen in combinations(parts, g)]
+        if rows <= alike << min(map(len, tables)):
+            break
+    return tables
 
 
 def random_tables(bits: int, radius: int, rows: int, recall: float, seed: int = 1) -> list[list[int]]:
@@ -294,7 +305,8 @@ def near_dedup(docs: DataFrame, size: int = 4, seed: int = 42, words: int = 1, r
     codes = materialize(prints.groupBy("code").agg(F.min("doc_id").alias("rep"), F.count("*").alias("rows")), "simhash-codes")
     known = codes.filter("rep is not null")
     bits = 64 * words
-    tables = exact_tables(bits, radius) if recall is None else random_tables(bits, radius, codes.count(), recall)
+    rows = codes.count()
+    tables = exact_tables(bits, radius, rows) if recall is None else random_tables(bits, radius, rows, recall)
     found = components(links(known, words, radius, tables, bucket_limit))
     placed = codes.join(found, codes.rep == found.node, "left").select("code", F.coalesce("component", "rep").alias("component_id"), "rows")
     return join_hot(prints, placed, "code", "rows").select("doc_id", "code", "component_id")

@@ -113,3 +113,19 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
     u, v = forest(np.array([5, 7, 9]), np.array([7, 9, 100]))
     assert sorted(zip(u.tolist(), v.tolist())) == [(7, 5), (9, 5), (100, 5)]
+
+
+def test_exact_tables_of_more_blocks():
+    """Any two codes within the radius agree on all bits of one table at least, whatever the number of rows."""
+    from itertools import combinations
+
+    for rows, count in ((0, 5), (5 * 10**5, 5), (10**7, 15), (10**12, 35)):
+        tables = simhash.exact_tables(64, 4, rows)
+        assert len(tables) == count
+        rng = np.random.default_rng(rows)
+        for _ in range(200):
+            changed = set(rng.choice(64, 4, replace=False).tolist())
+            assert any(changed.isdisjoint(t) for t in tables)
+    for rows in (10**7, 10**12):
+        tables = simhash.exact_tables(12, 2, rows)
+        assert all(any(set(c).isdisjoint(t) for t in tables) for c in combinations(range(12), 2))
