@@ -41,12 +41,12 @@ def test_empty_table(spark):
     assert vector_dedup.near_vectors(frame(spark, [])).count() == 0
 
 
-@pytest.mark.parametrize("limit", [None, 10])
-def test_recall(spark, limit):
+@pytest.mark.parametrize("limits", [{}, dict(bucket_rows=10), dict(bucket_bytes=1300), dict(bucket_rows=20, bucket_bytes=1300)])
+def test_recall(spark, limits):
     rng = np.random.default_rng(3)
     centres = rng.standard_normal((40, 32))
     rows = [(i, (centres[i % 40] + rng.uniform(0, 0.24) * rng.standard_normal(32)).astype(np.float32).tolist()) for i in range(600)]
-    got, want = rows_of(vector_dedup.near_vectors(frame(spark, rows), bucket_limit=limit)), brute(rows)
+    got, want = rows_of(vector_dedup.near_vectors(frame(spark, rows), **limits)), brute(rows)
     found, all_links = sum(r[1] for r in got), sum(r[1] for r in want)
     assert all_links > 500 and found >= 0.99 * all_links
     assert all(a[1] <= b[1] for a, b in zip(sorted(got), sorted(want)))
@@ -55,4 +55,6 @@ def test_recall(spark, limit):
 def test_plan_keeps_its_recall():
     for n in (10, 10**4, 10**7, 10**10):
         bits, tables = vector_dedup.plan(n, 0.95, 0.99)
+        most = vector_dedup.furthest(bits * tables, 0.95)
+        assert most < bits * tables / 2 - 2 * np.sqrt(bits * tables / 4)  # parts linked vectors from unlike ones
         assert 1 - (1 - (1 - np.arccos(0.95) / np.pi) ** bits) ** tables >= 0.99 and bits <= 62
