@@ -1,19 +1,23 @@
 """Toxicity by cumulative-link ordinal regression.
 
-Severity has ordered grades: 0 not toxic, 1 toxic, 2 severe. The labels say toxic or not; of the toxic documents that
-the model is fitted on, the severe ones are the half that holds the most of what tells them from others. One weight per word serves all
-thresholds: P(grade > k) = 1 / (1 + exp(threshold[k] - score)), with score the weighted sum over the words of a text
-of 1 + log(count). The expected severity is the sum of these probabilities.
+Severity has ordered grades: 0 not toxic, 1 toxic, 2 severe. The labels only tell the first from the others. The toxic
+rows that the model is fitted on fall into two halves, by identifier; severe ones are those that hold more than the
+median of what tells toxic rows in the other half, so no row's grade rests on its own words' evidence. One weight per
+feature serves all thresholds: P(grade > k) = 1 / (1 + exp(threshold[k] - score)), with score the weighted sum over the
+features of a text of 1 + log(count). The expected severity is the sum of these probabilities; the grade is the number
+of thresholds that the text is more likely above than not, so it is 0 exactly where the text isn't toxic.
 
 The model is fitted on a bounded sample of the labelled rows: of each toxicity label, the SAMPLE rows whose
-identifiers hash lowest, weighted so that the labels count as they do in all rows. Of their features, those in at least
-MIN_DOCS documents that are TIMES as frequent in toxic ones compete, and the FEATURES that tell most are used. Only their counts in
-the sample reach the driver. Every row and the whole text is scored.
+identifiers hash lowest, of those that are among the documents, weighted so that the labels count as they do in all
+rows. Features are all that are more frequent in toxic rows of the sample than chance explains: the signed root of the
+likelihood ratio statistic of their document counts is SIGNIFICANT or more. There is no limit on their number; at sf0.1
+about 200 are. Only their counts in the sample reach the driver. The weight of the penalty is the one of PENALTIES
+under which each half is likeliest for a model of the other. Every row and the whole text is scored.
 
 Words are the runs of letters, digits and non-ASCII characters, A-Z lower-cased; besides whole words, stems of
 STEMS characters are features, for insults that are inflected. Null text counts as empty, scored by
-the thresholds alone. Labels that are null, or of documents that aren't there, are left out. Repeated labels count once each. If a class is missing from the labels, no word is evidence and nothing is
-toxic. Repeated rows are scored row by row; an empty table gives an empty one. All columns of the input are kept;
+the thresholds alone. Labels that are null, or of documents that aren't there, are left out; labels and documents that
+repeat count once. If a class is missing from the labels, no word is evidence and nothing is toxic. Repeated rows are scored row by row; an empty table gives an empty one. All columns of the input are kept;
 severity, grade, p_toxic and toxic replace columns of those names.
 """
 
@@ -30,11 +34,11 @@ from pyspark.sql import functions as F
 
 from .common import Memo, arrow_map, materialize, ship, text_of
 
-SAMPLE, FEATURES, MIN_DOCS, GRADES = 4000, 400, 4, 3
-#: A feature must be so many times as frequent in toxic documents as in others.
-TIMES = 4
-#: Weight of the squared weights against the mean loss.
-L2 = 1e-5
+SAMPLE, GRADES = 4000, 3
+#: Standard deviations beyond which a feature's share of toxic rows is no chance.
+SIGNIFICANT = 4.0
+#: Weights of the squared weights against the mean loss, of which the held-out rows choose.
+PENALTIES = (1e-5, 1e-4, 1e-3, 1e-2)
 #: Lengths of stems, in characters.
 STEMS = (4, 5, 6, 7)
 
@@ -66,7 +70,7 @@ class Model:
 
     def score(self, text: str | None) -> float:
         if self.memo is None:
-            self.memo = Memo(self._known, 100_000)
+            self.memo = Memo(self._known, 60_000)
         counts = Counter(f for known in map(self.memo.__getitem__, words_of(text)) if known for f in known)
         self.memo.turn()
         return float(sum(self.weights[f] * (1 + np.log(n)) for f, n in sorted(counts.items())))
@@ -76,17 +80,15 @@ class Model:
         return 1 / (1 + np.exp(np.clip(self.thresholds[None, :] - score[:, None], -60, 60)))
 
 
-def fit(words: list[str], tell: list[float], owner: np.ndarray, column: np.ndarray, count: np.ndarray, toxic: np.ndarray, weight: np.ndarray, l2: float = L2, steps: int = 300) -> Model:
-    """words: the features, tell: how much each tells; owner, column, count: document, feature and how often."""
-    toxic, weight, grades = np.asarray(toxic, bool), np.asarray(weight, float), GRADES
-    if not toxic.any() or toxic.all():
+def fit(words: list[str], owner: np.ndarray, column: np.ndarray, count: np.ndarray, grade: np.ndarray, weight: np.ndarray, l2: float, steps: int = 300) -> Model:
+    """words: the features; owner, column, count: document, feature and how often; grade and weight by document."""
+    grade, weight, grades = np.asarray(grade, int), np.asarray(weight, float), GRADES
+    if not grade.any() or grade.all():
         return Model({}, np.full(grades - 1, 30.0))
-    weight, n = weight / weight.sum(), len(toxic)
+    weight, n = weight / weight.sum(), len(grade)
     owner, column, value = np.asarray(owner, int), np.asarray(column, int), 1 + np.log(np.asarray(count, float))
     m = len(words)
-    evidence = np.bincount(owner, np.array(tell)[column] * value if m else value, minlength=n)
-    grade = toxic.astype(int) + (toxic & (evidence >= max(np.median(evidence[toxic]), 1e-9)))
-    share = [max(1e-6, float(weight[grade > k].sum())) for k in range(grades - 1)]
+    share = [min(max(1e-6, float(weight[grade > k].sum())), 1 - 1e-6) for k in range(grades - 1)]
     # thresholds: the first, and the logarithms of the steps between them, which keeps them in order
     first = np.log((1 - share[0]) / share[0])
     gaps = np.diff([np.log((1 - s) / s) for s in share])
@@ -117,67 +119,110 @@ def fit(words: list[str], tell: list[float], owner: np.ndarray, column: np.ndarr
     return Model({w: float(x[i]) for i, w in enumerate(words)}, theta)
 
 
+def log_likelihood(model: Model, score: np.ndarray, grade: np.ndarray, weight: np.ndarray) -> float:
+    ends = np.concatenate([np.ones((len(score), 1)), model.above(score), np.zeros((len(score), 1))], axis=1)
+    at = np.arange(len(score))
+    return float((weight * np.log(np.maximum(ends[at, grade] - ends[at, grade + 1], 1e-12))).sum())
+
+
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> Model:
     """labels: id_col, toxic."""
-    marked = labels.filter("toxic is not null").select(F.col(id_col).alias("__id"), (F.col("toxic") != 0).alias("bad"))
-    total = {bool(r.t): r.n for r in marked.groupBy(F.col("bad").alias("t")).agg(F.count("*").alias("n")).collect()}
+    marked = labels.filter("toxic is not null").filter(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("__id")).agg(F.max(F.col("toxic") != 0).alias("bad"))
+    there = marked.join(docs.select(F.col(id_col).alias("__id")).distinct(), "__id", "left_semi")
+    there = materialize(there, "toxicity-labels")
+    total = {bool(r.bad): r.n for r in there.groupBy("bad").agg(F.count("*").alias("n")).collect()}
     picked = None
     for side in (F.col("bad"), ~F.col("bad")):
-        part = marked.filter(side).orderBy(F.xxhash64("__id"), "__id").limit(sample)
+        part = there.filter(side).orderBy(F.xxhash64("__id"), "__id").limit(sample)
         picked = part if picked is None else picked.unionByName(part)
     chosen = docs.select(F.col(id_col).alias("__doc"), text_of(text_col).alias("text")).join(F.broadcast(picked), F.col("__doc") == F.col("__id"))
-    chosen = materialize(chosen.select(F.monotonically_increasing_id().alias("no"), "text", "bad"), "toxicity-sample")
-    held = {r.bad: r.n for r in chosen.groupBy("bad").agg(F.count("*").alias("n")).collect()}
-    if len(held) < 2:
+    chosen = chosen.groupBy("__id").agg(F.min("text").alias("text"), F.first("bad").alias("bad"))  # a document that repeats counts once
+    chosen = materialize(chosen.select(F.monotonically_increasing_id().alias("no"), "text", "bad", F.pmod(F.xxhash64("__id", F.lit(1)), F.lit(2)).cast("int").alias("half")), "toxicity-sample")
+    held = {(r.bad, r.half): r.n for r in chosen.groupBy("bad", "half").agg(F.count("*").alias("n")).collect()}
+    sizes = {bad: [held.get((bad, half), 0) for half in (0, 1)] for bad in (False, True)}
+    if not (sum(sizes[True]) and sum(sizes[False])):
         return Model({}, np.full(GRADES - 1, 30.0))
-    top = _telling(chosen, held).collect()
+    top = _telling(chosen, sizes).collect()
     words, place = [r.feature for r in top], {r.feature: i for i, r in enumerate(top)}
 
     def cells(batches):
         for b in batches:
             found = [{place[f]: n for f, n in counts_of(t).items() if f in place} for t in b.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(1), pa.array([list(c) for c in found], pa.list_(pa.int32())), pa.array([list(c.values()) for c in found], pa.list_(pa.int32())), b.column(2)], names=["no", "place", "count", "bad"])
+            yield pa.RecordBatch.from_arrays([b.column(1), pa.array([list(c) for c in found], pa.list_(pa.int32())), pa.array([list(c.values()) for c in found], pa.list_(pa.int32())), b.column(2), b.column(3)], names=["no", "place", "count", "bad", "half"])
 
-    taken = arrow_map(chosen.select("text", "no", "bad"), cells, "no long, place array<int>, count array<int>, bad boolean").toPandas()
+    taken = arrow_map(chosen.select("text", "no", "bad", "half"), cells, "no long, place array<int>, count array<int>, bad boolean, half int").toPandas()
     taken = taken.sort_values("no")
-    owner = np.repeat(np.arange(len(taken)), taken["place"].map(len))
-    bad = taken["bad"].to_numpy(bool)
-    weight = np.where(bad, total.get(True, 0) / held[True], total.get(False, 0) / held[False])
-    joined = lambda c: np.concatenate([*taken[c], np.zeros(0, int)])
-    return fit(words, [r.tell for r in top], owner, joined("place"), joined("count"), bad, weight)
-
-
-def _telling(chosen: DataFrame, held: dict[bool, int]) -> DataFrame:
-    """feature, tell: of the features that are much more frequent in toxic documents, the FEATURES that tell most."""
+    bad, half, n = taken["bad"].to_numpy(bool), taken["half"].to_numpy(int), len(taken)
+    weight = np.where(bad, total[True] / sum(sizes[True]), total[False] / sum(sizes[False]))
+    joined = lambda c: np.concatenate([*taken[c], np.zeros(0, int)]).astype(int)
+    owner, column, count = np.repeat(np.arange(n), taken["place"].map(len)).astype(int), joined("place"), joined("count")
+    told = np.array([[r.by0, r.by1, r.by_all] for r in top], bool).reshape(-1, 3)
+    value = 1 + np.log(count)
+    grade = bad.astype(int)
+    for h in (0, 1):  # graded by what the other half tells
+        evidence = np.bincount(owner, value * told[column, 1 - h], minlength=n)
+        own = bad & (half == h)
+        if own.any():
+            grade += own & (evidence > np.median(evidence[own]))
+
+    def fitted(rows: np.ndarray, features: np.ndarray, penalty: float) -> Model:
+        use = rows[owner] & features[column]
+        return fit(words, owner[use], column[use], count[use], grade, np.where(rows, weight, 0.0), penalty)
+
+    def likelihood(penalty: float) -> float:
+        """Of each half under a model of the other."""
+        out = 0.0
+        for h in (0, 1):
+            model = fitted(half == h, told[:, h], penalty)
+            w = np.array([model.weights.get(x, 0.0) for x in words]) * told[:, h]
+            score = np.bincount(owner, w[column] * value, minlength=n)
+            out += log_likelihood(model, score[half != h], grade[half != h], weight[half != h])
+        return out
+
+    l2 = max(PENALTIES, key=likelihood) if min(sizes[True] + sizes[False]) else PENALTIES[0]
+    model = fitted(np.ones(n, bool), told[:, 2], l2)
+    return Model({x: model.weights.get(x, 0.0) for x, all_ in zip(words, told[:, 2]) if all_}, model.thresholds)
+
+
+def _telling(chosen: DataFrame, sizes: dict[bool, list[int]]) -> DataFrame:
+    """feature, by0, by1, by_all: the features that are more frequent in toxic rows than chance explains, in which half
+    or in the whole sample."""
 
     def run(batches):
         for b in batches:
-            seen, toxic = Counter(), Counter()
-            for t, bad in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                own = counts_of(t).keys()
-                seen.update(own)
-                if bad:
-                    toxic.update(own)
-            yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64()), pa.array([toxic[f] for f in seen], pa.int64())], names=["feature", "n", "a"])
+            seen = {(bad, half): Counter() for bad in (False, True) for half in (0, 1)}
+            for t, bad, half in zip(*(b.column(k).to_pylist() for k in range(3))):
+                seen[bad, half].update(counts_of(t).keys())
+            features = list(set().union(*seen.values()))
+            columns = [pa.array([c[f] for f in features], pa.int64()) for c in seen.values()]
+            yield pa.RecordBatch.from_arrays([pa.array(features, pa.string()), *columns], names=["feature", "good0", "good1", "bad0", "bad1"])
+
+    sums = [F.sum(c).alias(c) for c in ("good0", "good1", "bad0", "bad1")]
+    counts = arrow_map(chosen.select("text", "bad", "half"), run, "feature string, good0 long, good1 long, bad0 long, bad1 long").groupBy("feature").agg(*sums)
+
+    def told(halves: tuple[int, ...]):
+        na, nb = sum(sizes[True][h] for h in halves), sum(sizes[False][h] for h in halves)
+        if not (na and nb):
+            return F.lit(False)
+        a, b = (sum((F.col(f"{side}{h}") for h in halves), F.lit(0)) for side in ("bad", "good"))
+        share = (a + b) / (na + nb)
+        part = lambda x, n: F.when(x > 0, x * F.log(x / (n * share))).otherwise(0.0)
+        return (a * nb > b * na) & (2 * (part(a, na) + part(b, nb)) >= SIGNIFICANT**2)
 
-    counts = arrow_map(chosen.select("text", "bad"), run, "feature string, n long, a long").groupBy("feature").agg(F.sum("n").alias("n"), F.sum("a").alias("a"))
-    in_bad, in_good = F.col("a") + 0.5, F.col("n") - F.col("a") + 0.5
-    ratio = (in_bad / (held[True] + 1)) / (in_good / (held[False] + 1))
-    tell = F.log(ratio) / F.sqrt(1 / in_bad + 1 / in_good)
-    return counts.filter((F.col("n") >= MIN_DOCS) & (ratio >= TIMES)).select("feature", tell.alias("tell")).orderBy(F.desc("tell"), "feature").limit(FEATURES)
+    found = counts.select("feature", told((0,)).alias("by0"), told((1,)).alias("by1"), told((0, 1)).alias("by_all"))
+    return found.filter("by0 OR by1 OR by_all").orderBy("feature")
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """The input's rows with severity double, grade int (the most likely), p_toxic double and toxic boolean."""
+    """The input's rows with severity double, grade int, p_toxic double and toxic boolean."""
     ship(docs.sparkSession)
-    held = docs.sparkSession.sparkContext.broadcast(model)  # at most FEATURES words
+    held = docs.sparkSession.sparkContext.broadcast(model)  # the features of a bounded sample
 
     @F.pandas_udf("severity double, grade int, p_toxic double")
     def scored(texts: pd.Series) -> pd.DataFrame:
         own = held.value
         above = own.above(np.array([own.score(t) for t in texts], float))
-        ends = np.concatenate([np.ones((len(above), 1)), above, np.zeros((len(above), 1))], axis=1)
-        return pd.DataFrame({"severity": above.sum(axis=1), "grade": (ends[:, :-1] - ends[:, 1:]).argmax(axis=1).astype("int32"), "p_toxic": above[:, 0]})
+        return pd.DataFrame({"severity": above.sum(axis=1), "grade": (above >= 0.5).sum(axis=1).astype("int32"), "p_toxic": above[:, 0]})
 
     own = ("severity", "grade", "p_toxic", "toxic")
     base = docs.drop(*[c for c in own if c in docs.columns and c != text_col])
