@@ -60,15 +60,21 @@ def scratch_root(spark: SparkSession) -> str:
     return _own_root[app]
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, removed at the end."""
+    path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+    if not _written:
+        atexit.register(clean)
+    _written.append((spark, path))
+    return path
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Writes df as a Parquet table in the shared folder and reads it: cuts the lineage, survives the loss of
     executors, and fixes rows whose order or sampling a second evaluation might change."""
     spark = df.sparkSession
-    path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+    path = scratch_path(spark, name)
     df.write.parquet(path)
-    if not _written:
-        atexit.register(clean)
-    _written.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 

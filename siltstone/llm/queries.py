@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import byte_bpe, exact_dedup, html_extract, license_scan, line_dedup, packing, resharding, simhash, toxicity, vector_dedup
+from .common import scratch_path
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,10 +64,19 @@ OLD_SHARDS, NEW_SHARDS = 32, 40
 
 
 def op9_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    old = F.pmod(F.crc32(F.coalesce(F.col("source"), F.lit("")).cast("binary")), F.lit(OLD_SHARDS))
-    placed, _ = resharding.reshard(documents(spark, sf_dir), old, OLD_SHARDS, NEW_SHARDS)
+    """Rows of shards that change come from the rewritten files, the others from where they stay."""
+    docs = documents(spark, sf_dir)
+    old = F.pmod(F.crc32(F.coalesce(F.col("source"), F.lit("")).cast("binary")), F.lit(OLD_SHARDS)).cast("int")
+    placed, made = resharding.reshard(docs, old, OLD_SHARDS, NEW_SHARDS)
+    path = scratch_path(spark, "reshard-files")
+    changed = resharding.rewrite(docs.select("doc_id", "text", "source"), old, made, path)
+    kept = placed.filter(~F.col("shard").isin(changed)) if changed else placed
+    if changed:
+        text = F.coalesce(F.col("text"), F.lit(""))
+        files = spark.read.schema(f"doc_id {dict(docs.dtypes)['doc_id']}, text string, source string, slot long, shard int").parquet(path)
+        kept = kept.unionByName(files.select("doc_id", (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), old.alias("old_shard"), "shard", "slot"))
     law, grown = F.lit("bytes").alias("law"), F.lit(None).cast("int").alias("grown_shard")
-    return placed.select("doc_id", "size", "text_crc32", law, "shard", "slot", grown, "old_shard")
+    return kept.select("doc_id", "size", "text_crc32", law, "shard", "slot", grown, "old_shard")
 
 
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

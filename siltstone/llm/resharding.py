@@ -2,15 +2,15 @@
 
 From the bytes that each old shard holds and the capacities of the new ones, a minimum-cost flow says how many
 bytes go from which old shard to which new one so that the fewest bytes move (what stays costs nothing). Shards are
-moved by blocks, hash ranges of identifiers within an old shard. Only the sizes of blocks reach the driver: old
+moved by blocks, hash ranges of identifiers and texts within an old shard. Only the sizes of blocks reach the driver: old
 shards times blocks per shard, whatever the input; a shard that holds a third of all rows is cut like any other.
 Blocks fill the flow's quotas, largest first, and each row follows its block. Its slot is its rank in the block
-after the rows of the blocks before it.
+after the rows of the blocks before it. Last, the files of the shards whose contents change are rewritten.
 
 Size: UTF-8 bytes of the text (null: none) plus `overhead`. Law: bytes; the sizes of new shards are near equal.
-Equal texts are no group here and may part. Rows that repeat an identifier follow one block and take a slot each;
-a null identifier is hashed like any other. An empty table gives an empty one. Other columns are left out of the
-placement; rewrite() keeps them.
+Equal texts are no group here and may part. Rows that repeat an identifier with its text follow one block and take a
+slot each; a null identifier is hashed like any other. An empty table gives an empty one. Other columns are left out of
+the placement; rewrite() keeps them, but for columns named shard and slot.
 """
 
 from __future__ import annotations
@@ -113,33 +113,54 @@ def plan(sizes: pd.DataFrame, old_shards: int, capacity: list[int]) -> Plan:
 
 def reshard(docs: DataFrame, old_shard: Column, old_shards: int, new_shards: int, id_col: str = "doc_id", text_col: str = "text", overhead: int = 16, blocks: int = BLOCKS) -> tuple[DataFrame, Plan]:
     """Rows doc_id, size, text_crc32, old_shard, shard, slot; and the plan. Sizes are read when this is called."""
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    meta = docs.select(
-        F.col(id_col).alias("doc_id"),
-        (F.octet_length(text) + overhead).cast("long").alias("size"),
-        F.crc32(text.cast("binary")).alias("text_crc32"),
-        old_shard.cast("int").alias("old"),
-        F.pmod(F.xxhash64(F.col(id_col)), F.lit(blocks)).cast("int").alias("block"),
-    )
+    meta = docs.select(*_keys(old_shard, id_col, text_col, overhead, blocks))
     meta = materialize(meta, "reshard-meta")
     sizes = meta.groupBy("old", "block").agg(F.count("*").alias("n"), F.sum("size").alias("bytes")).toPandas()
     total = int(sizes["bytes"].sum())
     capacity = [total * (j + 1) // new_shards - total * j // new_shards for j in range(new_shards)]
     made = plan(sizes, old_shards, capacity)
-    schema = "old long, block long, shard long, base long"
-    targets = docs.sparkSession.createDataFrame(made.blocks, schema) if len(made.blocks) else docs.sparkSession.createDataFrame([], schema)
-    targets = targets.select(F.col("old").cast("int"), F.col("block").cast("int"), F.col("shard").cast("int"), "base")
+    placed = meta.join(F.broadcast(_targets(meta, made)), (F.col("old") == F.col("to_old")) & (F.col("block") == F.col("to_block")))
     rank = F.row_number().over(Window.partitionBy("old", "block").orderBy("doc_id", "text_crc32", "size"))
-    placed = meta.withColumn("rank", rank).join(F.broadcast(targets), ["old", "block"])
-    return placed.select("doc_id", "size", "text_crc32", F.col("old").alias("old_shard"), "shard", (F.col("base") + F.col("rank") - 1).cast("long").alias("slot")), made
+    slot = (F.col("base") + rank - 1).cast("long").alias("slot")
+    return placed.select("doc_id", "size", "text_crc32", F.col("old").alias("old_shard"), "shard", slot), made
+
+
+def _keys(old_shard: Column, id_col: str, text_col: str, overhead: int, blocks: int) -> list[Column]:
+    """What places a row, from its own columns."""
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    crc = F.crc32(text.cast("binary"))
+    return [
+        F.col(id_col).alias("doc_id"),
+        (F.octet_length(text) + overhead).cast("long").alias("size"),
+        crc.alias("text_crc32"),
+        old_shard.cast("int").alias("old"),
+        F.pmod(F.xxhash64(F.col(id_col), crc), F.lit(blocks)).cast("int").alias("block"),
+    ]
+
+
+def _targets(df: DataFrame, made: Plan) -> DataFrame:
+    schema = "to_old long, to_block long, shard long, base long"
+    rows = df.sparkSession.createDataFrame(made.blocks, schema) if len(made.blocks) else df.sparkSession.createDataFrame([], schema)
+    return rows.select(F.col("to_old").cast("int"), F.col("to_block").cast("int"), F.col("shard").cast("int"), "base")
 
 
-def rewrite(docs: DataFrame, placed: DataFrame, made: Plan, path: str, id_col: str = "doc_id", rows_per_file: int = 1_000_000) -> list[int]:
-    """Writes the shards whose contents change to path/shard=N, in slot order, and leaves the other folders of the
-    dataset as they are. Returns the shards written. Identifiers must be unique here."""
+def rewrite(docs: DataFrame, old_shard: Column, made: Plan, path: str, id_col: str = "doc_id", text_col: str = "text", overhead: int = 16, blocks: int = BLOCKS, rows_per_file: int = 200_000) -> list[int]:
+    """Writes the shards whose contents change to path/shard=N, in files by slot, and leaves the other folders of the
+    dataset as they are; folders of changed shards that hold no row any more go. A row is placed from its own columns,
+    as reshard() does with the same arguments, so rows that repeat an identifier or have none are written once each.
+    The dataset's rows must not be read from `path` itself. Returns the shards that change."""
     changed = made.affected()
-    moved = placed.filter(F.col("shard").isin(changed)).select(F.col("doc_id").alias("__id"), "shard", "slot")
-    kept = docs.drop("shard", "slot").join(moved, docs[id_col] == F.col("__id")).drop("__id")
-    out = kept.repartition("shard", F.floor(F.col("slot") / rows_per_file)).sortWithinPartitions("shard", "slot")
+    named = [f"__k_{c}" for c in ("doc_id", "size", "text_crc32", "old", "block")]
+    kept = [c for c in docs.columns if c not in ("shard", "slot")]
+    keyed = docs.select(*kept, *[c.alias(n) for c, n in zip(_keys(old_shard, id_col, text_col, overhead, blocks), named)])
+    targets = _targets(docs, made).filter(F.col("shard").isin(changed))
+    placed = keyed.join(F.broadcast(targets), (F.col("__k_old") == F.col("to_old")) & (F.col("__k_block") == F.col("to_block")))
+    rank = F.row_number().over(Window.partitionBy("__k_old", "__k_block").orderBy("__k_doc_id", "__k_text_crc32", "__k_size"))
+    out = placed.withColumn("slot", (F.col("base") + rank - 1).cast("long")).select(*kept, "shard", "slot", F.floor(F.col("slot") / rows_per_file).alias("__part"))
+    out = out.repartition("shard", "__part").drop("__part").sortWithinPartitions("shard", "slot")
     out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard").parquet(path)
+    sc = docs.sparkSession.sparkContext
+    for j in set(changed) - {int(j) for j in made.blocks["shard"]}:
+        where = sc._jvm.org.apache.hadoop.fs.Path(f"{path}/shard={j}")
+        where.getFileSystem(sc._jsc.hadoopConfiguration()).delete(where, True)
     return changed

@@ -63,12 +63,28 @@ def test_rewrite_leaves_other_shards(spark, tmp_path):
     path = f"{tmp_path}/shards"
     df.withColumn("shard", old).write.partitionBy("shard").parquet(path)
     placed, made = resharding.reshard(df, old, 2, 3)
-    assert resharding.rewrite(df, placed, made, path) == [0, 2]
+    assert resharding.rewrite(df, old, made, path) == [0, 2]
     back = spark.read.parquet(path)
     assert sorted((r.doc_id, r.text) for r in back.collect()) == rows
     assert {r.shard: r["count"] for r in back.groupBy("shard").count().collect()} == {0: 30, 1: 30, 2: 30}
 
 
+def test_rewrite_of_odd_rows(odd, texts, tmp_path):
+    """Null and repeated identifiers are written once a row, in the slots of the placement; old shard 3 ends up empty
+    and its folder goes."""
+    old = F.pmod(F.xxhash64("doc_id"), F.lit(4))
+    path = f"{tmp_path}/shards"
+    odd.withColumn("shard", old).write.partitionBy("shard").parquet(path)
+    placed, made = resharding.reshard(odd, old, 4, 3, blocks=8)
+    changed = resharding.rewrite(odd, old, made, path, blocks=8)
+    assert 3 in changed and not (tmp_path / "shards" / "shard=3").exists()
+    back = odd.sparkSession.read.parquet(path).filter(F.col("shard").isin(changed))
+    got = sorted(((r.doc_id, r.text, r.lang) for r in back.collect()), key=str)
+    crc = lambda t: zlib.crc32((t or "").encode())
+    assert sorted(((i, crc(t)) for i, t, _ in got), key=str) == sorted(((r.doc_id, r.text_crc32) for r in placed.collect() if r.shard in changed), key=str)
+    assert sorted(((r.doc_id, crc(r.text), r.shard, r.slot) for r in back.collect()), key=str) == sorted(((r.doc_id, r.text_crc32, r.shard, r.slot) for r in placed.collect() if r.shard in changed), key=str)
+
+
 def test_plan_bounds():
     sizes = pd.DataFrame({"old": [0, 0, 1], "block": [0, 1, 0], "n": [1, 2, 3], "bytes": [10, 20, 30]})
     made = resharding.plan(sizes, 2, [30, 30])
