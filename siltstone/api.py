@@ -8,12 +8,16 @@
 
 from __future__ import annotations
 
+import functools
+import json
+import time
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from .functions import sqlfront
 from .functions.sqlfront import Group, find, nest, split, text, tokens, upper
@@ -54,8 +58,14 @@ class Cursor:
         return self._df.toArrow()
 
     def fetch_record_batch(self, rows: int = 65_536) -> pa.RecordBatchReader:
-        table = self.arrow()
-        return pa.RecordBatchReader.from_batches(table.schema, table.to_batches(max_chunksize=rows))
+        """Batch by batch, a partition at a time in the driver's memory."""
+        schema = to_arrow_schema(self._df.schema)
+
+        def batches():
+            while block := self.fetchmany(rows):
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*block), schema)], schema=schema)
+
+        return pa.RecordBatchReader.from_batches(schema, batches())
 
     def fetchnumpy(self) -> dict[str, np.ndarray]:
         table = self.arrow()
@@ -71,6 +81,7 @@ class Database:
         self.spark.conf.set("spark.sql.session.timeZone", "UTC")
         self.store = Store(self.spark, root, create)
         self._views: set[str] = set()
+        self._pending: dict[str, list[DataFrame]] = {}  # rows of VALUES given to tables in buffered mode, until flush()
         self.refresh()
 
     @classmethod
@@ -87,7 +98,10 @@ class Database:
         for view in self._views - set(self.store.tables):
             self.spark.catalog.dropTempView(view)
         for name in self.store.tables:
-            self.store.read(name).createOrReplaceTempView(name)
+            whole = self.store.read(name)
+            for rows in self._pending.get(name, []):
+                whole = whole.unionByName(rows)
+            whole.createOrReplaceTempView(name)
         self._views = set(self.store.tables)
 
     def register(self, name: str, path: str, format: str | None = None) -> None:
@@ -104,6 +118,9 @@ class Database:
         nodes = nest(tokens(sql.strip().rstrip(";")))
         word = upper(nodes[0])
         if word in ("CREATE", "DROP", "ALTER", "INSERT", "DELETE", "UPDATE"):
+            if word != "INSERT":
+                for name in list(self._pending):  # a change sees every row
+                    self._flush(name)
             changed = getattr(self, "_" + word.lower())(nodes)
             self.refresh()
             return self.spark.createDataFrame([(changed,)], "changed long")
@@ -121,8 +138,15 @@ class Database:
         while block := cursor.fetchmany(block_rows):
             yield block
 
-    def explain(self, sql: str, mode: str = "formatted") -> str:
+    def explain(self, sql: str, mode: str = "formatted", analyze: bool = False) -> str:
+        """The plan; with `analyze` the query runs, and a line of JSON comes first: rows and seconds."""
         df = self.run(sql)
+        if analyze:
+            began = time.perf_counter()
+            seen = Observation("explain")
+            df.observe(seen, F.count(F.lit(1)).alias("rows")).write.format("noop").mode("overwrite").save()
+            told = {"rows": seen.get["rows"], "seconds": round(time.perf_counter() - began, 6)}
+            return json.dumps(told) + "\n" + self.explain(sql, mode)
         return self.spark._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), mode)
 
     # changes
@@ -189,7 +213,12 @@ class Database:
         columns = None
         if isinstance(rest[0], Group) and find(rest[0], "SELECT") < 0:
             columns, rest = [c[0] for c in split(rest[0])], rest[1:]
-        return self.store.append(name, self.spark.sql(sqlfront.translate(text(rest))), columns)
+        df = self.spark.sql(sqlfront.translate(text(rest)))
+        if upper(rest[0]) == "VALUES" and self.store._table(name)["mode"] == "buffered":
+            df = self.store.fitted(name, df, columns)
+            self._pending.setdefault(name, []).append(df)
+            return df.count()
+        return self.store.append(name, df, columns)
 
     def _delete(self, n: Group) -> int:
         return self.store.delete(n[2], self._where(n[3:]))
@@ -207,8 +236,8 @@ class Database:
 
     # loading and maintenance
 
-    def load(self, name: str, path: str, casts: dict[str, str] | None = None, cluster_by: list[str] | None = None, format: str | None = None) -> int:
-        df = readers.lay_out(readers.cast_columns(readers.read(self.spark, path, format), casts or {}), cluster_by)
+    def load(self, name: str, path: str, casts: dict[str, str] | None = None, cluster_by: list[str] | None = None, format: str | None = None, hash_by: list[str] | None = None, row_lengths: list[str] | None = None) -> int:
+        df = readers.prepared(readers.read(self.spark, path, format), casts, cluster_by, hash_by, row_lengths)
         if name not in self.store.tables:
             self.store.create(name, df.dtypes)
         rows = self.store.append(name, df)
@@ -216,11 +245,25 @@ class Database:
         return rows
 
     def flush(self, name: str) -> None:
-        """Inserts are segments at once, so there is nothing to flush but what others wrote."""
+        """Rows that wait in buffered mode become one segment; in segment mode inserts are segments at once."""
         self.store._table(name)
+        self._flush(name)
+        self.refresh()
+
+    def _flush(self, name: str) -> None:
+        waiting = self._pending.pop(name, [])
+        if waiting:
+            self.store.append(name, functools.reduce(DataFrame.unionByName, waiting))
+
+    def set_table_mode(self, name: str, mode: str) -> None:
+        """segment: each INSERT writes a segment. buffered: rows of INSERT ... VALUES wait in this Database, seen by its
+        own queries only and lost with it, until flush(), any other change or compaction writes them as one."""
+        self._flush(name)
+        self.store.set_mode(name, mode)
         self.refresh()
 
     def compact(self, name: str, files: int | None = None, cluster_by: list[str] | None = None) -> int:
+        self._flush(name)
         before = self.store.compact(name, files, cluster_by)
         self.refresh()
         return before
@@ -229,12 +272,10 @@ class Database:
         self.compact(name, cluster_by=[key])
 
     def retype(self, name: str, casts: dict[str, str]) -> None:
+        self._flush(name)
         self.store.retype(name, casts)
         self.refresh()
 
-    def set_table_mode(self, name: str, mode: str) -> None:
-        self.store.set_mode(name, mode)
-
     def prewarm(self, name: str | None = None) -> None:
         for t in [name] if name else list(self.store.tables):
             self.spark.catalog.cacheTable(t)

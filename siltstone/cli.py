@@ -1,4 +1,4 @@
-"""python -m siltstone.cli DB COMMAND ...: init, load, sql, file, shell, explain, tables, stats, audit, compact, flush, vacuum."""
+"""python -m siltstone.cli DB COMMAND ...: init, load, sql, file, shell, explain, tables, stats, audit, compact, recluster, retype, flush, vacuum."""
 
 from __future__ import annotations
 
@@ -47,18 +47,24 @@ def main(args: list[str] | None = None) -> int:
     p.add_argument("--format", choices=("table", "csv", "tsv", "json"), default="table")
     p.add_argument("--master")
     sub = p.add_subparsers(dest="command", required=True)
-    for name, given in {"init": [], "tables": [], "shell": [], "vacuum": [], "sql": ["text"], "explain": ["text"], "file": ["path"], "stats": ["table"], "audit": ["table"], "compact": ["table"], "flush": ["table"], "load": ["table", "path"]}.items():
+    for name, given in {"init": [], "tables": [], "shell": [], "vacuum": [], "sql": ["text"], "explain": ["text"], "file": ["path"], "stats": ["table"], "audit": ["table"], "compact": ["table"], "flush": ["table"], "recluster": ["table", "key"], "retype": ["table"], "load": ["table", "path"]}.items():
         s = sub.add_parser(name)
         for g in given:
             s.add_argument(g)
         if name == "load":
             s.add_argument("--cluster-by", nargs="+")
+            s.add_argument("--hash", nargs="+", metavar="COLUMN")
+            s.add_argument("--row-lengths", nargs="+", metavar="COLUMN")
             s.add_argument("--cast", nargs="+", default=[], metavar="COLUMN=CAST")
+        if name == "explain":
+            s.add_argument("--analyze", action="store_true")
+        if name == "retype":
+            s.add_argument("casts", nargs="+", metavar="COLUMN=CAST")
     a = p.parse_args(args)
     spark = session(master=a.master)
     db = Database(spark, a.db, create=a.command == "init")
     if a.command == "load":
-        print(db.load(a.table, a.path, dict(c.split("=", 1) for c in a.cast), a.cluster_by))
+        print(db.load(a.table, a.path, dict(c.split("=", 1) for c in a.cast), a.cluster_by, hash_by=a.hash, row_lengths=a.row_lengths))
     elif a.command == "sql":
         emit(db.run(a.text), a.format)
     elif a.command == "file":
@@ -66,7 +72,7 @@ def main(args: list[str] | None = None) -> int:
             for s in statements(f.read()):
                 emit(db.run(s), a.format)
     elif a.command == "explain":
-        print(db.explain(a.text))
+        print(db.explain(a.text, analyze=a.analyze))
     elif a.command == "tables":
         for name, columns in db.tables().items():
             print(name, ", ".join(f"{c} {k}" for c, k in columns))
@@ -77,6 +83,10 @@ def main(args: list[str] | None = None) -> int:
             print(f"{x} -> {y}")
     elif a.command == "compact":
         print(db.compact(a.table))
+    elif a.command == "recluster":
+        db.recluster(a.table, a.key)
+    elif a.command == "retype":
+        db.retype(a.table, dict(c.split("=", 1) for c in a.casts))
     elif a.command == "flush":
         db.flush(a.table)
     elif a.command == "vacuum":

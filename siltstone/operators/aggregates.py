@@ -40,3 +40,13 @@ def merge_partials(parts: list[DataFrame], keys: list[str], value: str) -> DataF
         one = p.groupBy(*keys).agg(F.sum(F.col(value).cast("double")).alias("s"), F.count(value).alias("n"))
         out = one if out is None else out.unionByName(one)
     return out.groupBy(*keys).agg(F.sum("s").alias("total"), F.sum("n").alias("rows")).withColumn("mean", F.try_divide("total", "rows"))
+
+
+def merge_distinct(parts: list[DataFrame], keys: list[str], target: str) -> DataFrame:
+    """COUNT(DISTINCT target) and COUNT(*) over several tables: each one's counts by key and value are what merges."""
+    out = None
+    for p in parts:
+        one = p.groupBy(*keys, target).agg(F.count("*").alias("__n"))
+        out = one if out is None else out.unionByName(one)
+    pairs = out.groupBy(*keys, target).agg(F.sum("__n").alias("__n"))
+    return pairs.groupBy(*keys).agg(F.count(target).alias("distinct_count"), F.sum("__n").alias("row_count"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..functions import sqlfront
 from ..sources.tables import TABLES
-from . import corpus
+from . import corpus, tables  # noqa: F401  (adds its queries to FRAMES)
 from .frames import FRAMES
 
 

@@ -149,6 +149,10 @@ JOINS = {
     "join_using": "SELECT COUNT(*) AS n FROM (SELECT l_orderkey AS k, l_linenumber AS j FROM lineitem WHERE l_returnflag = 'A') a JOIN (SELECT l_orderkey AS k, l_linenumber AS j FROM lineitem WHERE l_returnflag = 'N') b USING (k, j)",
     "semi_in": "SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 400000)",
     "anti_not_in": "SELECT p_partkey FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 45)",
+    "anti_not_all": "SELECT s_suppkey FROM supplier WHERE s_nationkey <> ALL (SELECT c_nationkey FROM customer WHERE c_acctbal > 9900) AND s_acctbal > 0",
+    "anti_not_in_or": "SELECT n_name FROM nation WHERE n_nationkey NOT IN (SELECT NULLIF(r_regionkey, 2) FROM region WHERE r_regionkey > 2) OR n_regionkey = 1",
+    "anti_not_in_null_left": "SELECT k FROM (SELECT NULLIF(n_nationkey, 9) AS k FROM nation) t WHERE k NOT IN (SELECT r_regionkey FROM region)",
+    "anti_not_in_empty": "SELECT k FROM (SELECT NULLIF(n_nationkey, 9) AS k FROM nation) t WHERE k NOT IN (SELECT r_regionkey FROM region WHERE r_regionkey > 99)",
     "anti_not_in_null": "SELECT n_name FROM nation WHERE n_nationkey NOT IN (SELECT NULLIF(r_regionkey, 2) FROM region)",
     "exists_correlated": "SELECT s_suppkey FROM supplier WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_suppkey = s_suppkey AND l_discount > 0.09 AND l_quantity > 49)",
     "not_exists": "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'F' AND o_totalprice > 100000)",
@@ -177,14 +181,14 @@ AGGREGATES = {
     "agg_count": "SELECT COUNT(*) AS n, COUNT(o_custkey) AS c, COUNT(NULLIF(o_orderstatus, 'F')) AS not_f FROM orders",
     "agg_distinct": "SELECT COUNT(DISTINCT l_suppkey) AS s, COUNT(DISTINCT l_returnflag) AS f, CAST(SUM(DISTINCT l_linenumber) AS BIGINT) AS d, AVG(DISTINCT l_linenumber) AS a FROM lineitem",
     "agg_distinct_grouped": "SELECT l_returnflag, COUNT(DISTINCT l_partkey) AS p, COUNT(*) AS n, MIN(DISTINCT l_linenumber) AS m FROM lineitem GROUP BY l_returnflag",
-    "agg_sum_exact": "SELECT CAST(SUM(x) AS DOUBLE) AS s FROM (SELECT CAST(4611686018427387904 AS HUGEINT) + o_orderkey AS x FROM orders WHERE o_orderkey < 5) t",
+    "agg_sum_exact": "SELECT CAST(SUM(x) AS VARCHAR) AS s, CAST(MAX(x) AS VARCHAR) AS m FROM (SELECT CAST(4611686018427387904 AS HUGEINT) + o_orderkey AS x FROM orders) t",
     "agg_min_max": "SELECT MIN(o_orderdate) AS lo, MAX(o_orderdate) AS hi, MIN(o_orderpriority) AS p, MAX(o_totalprice) AS t FROM orders",
     "agg_case": "SELECT o_orderstatus, CAST(SUM(CASE WHEN o_totalprice > 200000 THEN 1 ELSE 0 END) AS BIGINT) AS big, ROUND(AVG(CASE WHEN o_custkey < 500 THEN o_totalprice END), 3) AS a FROM orders GROUP BY o_orderstatus",
     "agg_arithmetic": "SELECT l_linestatus, ROUND(100 * SUM(l_discount) / SUM(l_quantity), 6) AS pct, MAX(l_quantity) - MIN(l_quantity) AS spread FROM lineitem GROUP BY l_linestatus",
     "agg_stddev": "SELECT ROUND(STDDEV(l_quantity), 6) AS a, ROUND(STDDEV_POP(l_quantity), 6) AS b, ROUND(VARIANCE(l_quantity), 6) AS c, ROUND(VAR_POP(l_quantity), 6) AS d, ROUND(CORR(l_quantity, l_extendedprice), 6) AS e FROM lineitem",
     "agg_median": "SELECT l_returnflag, ROUND(MEDIAN(l_extendedprice), 4) AS m FROM lineitem GROUP BY l_returnflag",
     "agg_quantile": "SELECT ROUND(QUANTILE_CONT(o_totalprice, 0.9), 4) AS q90, ROUND(QUANTILE_CONT(o_totalprice, 0.25), 4) AS q25, CAST(QUANTILE_DISC(o_orderkey, 0.5) AS BIGINT) AS d FROM orders",
-    "agg_mode": "SELECT MODE(p_type) AS m FROM part WHERE p_type IN (SELECT p_type FROM part GROUP BY p_type ORDER BY COUNT(*) DESC, p_type LIMIT 1)",
+    "agg_mode": "SELECT k % 3 AS g, MODE(CASE WHEN k % 7 < 4 THEN 'most' WHEN k % 7 < 6 THEN 'some' ELSE n END) AS m FROM (SELECT c_custkey AS k, c_name AS n FROM customer) t GROUP BY k % 3",
     "agg_bool": "SELECT n_regionkey, BOOL_AND(n_nationkey > 2) AS a, BOOL_OR(n_nationkey > 20) AS o FROM nation GROUP BY n_regionkey",
     "agg_any_value": "SELECT r_regionkey, ANY_VALUE(r_name) AS v FROM region GROUP BY r_regionkey",
     "agg_string": "SELECT n_regionkey, STRING_AGG(n_name, ';' ORDER BY n_name) AS names FROM nation GROUP BY n_regionkey",

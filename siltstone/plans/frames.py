@@ -156,9 +156,9 @@ def df_string_agg(spark, d):
     return table(spark, d, "nation").groupBy("n_regionkey").agg(S.string_agg_distinct(F.col("n_nationkey") % 4).alias("ks"), F.min("n_nationkey").alias("m"))
 
 
-@query("SELECT CAST(SUM(CAST(o_orderkey AS HUGEINT) * 1000000) AS DOUBLE) AS s FROM orders")
+@query("SELECT CAST(SUM(CAST(o_orderkey AS HUGEINT) * 100000000000) AS VARCHAR) AS s FROM orders")
 def df_exact_sum(spark, d):
-    return table(spark, d, "orders").agg(S.exact_sum(F.col("o_orderkey") * 1000000).cast("double").alias("s"))
+    return table(spark, d, "orders").agg(S.exact_sum(F.col("o_orderkey").cast("long") * 100000000000).cast("string").alias("s"))
 
 
 @query("""SELECT * FROM (VALUES ('n_name', 'string', 25, 0), ('n_nationkey', 'int', 25, 0), ('n_regionkey', 'int', 25, 0)) v("column", "type", "rows", "nulls")""")

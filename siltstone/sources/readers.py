@@ -49,12 +49,16 @@ def lay_out(df: DataFrame, cluster_by: list[str] | None = None, hash_by: list[st
     return df.coalesce(files) if files else df
 
 
-def load(spark: SparkSession, source: str, target: str, casts: dict[str, str] | None = None, cluster_by: list[str] | None = None, hash_by: list[str] | None = None, row_lengths: list[str] | None = None, format: str | None = None) -> DataFrame:
-    """Writes a source as Parquet laid out for reading. row_lengths: text columns whose length becomes a column."""
-    df = cast_columns(read(spark, source, format), casts or {})
+def prepared(df: DataFrame, casts: dict[str, str] | None = None, cluster_by: list[str] | None = None, hash_by: list[str] | None = None, row_lengths: list[str] | None = None) -> DataFrame:
+    df = cast_columns(df, casts or {})
     for c in row_lengths or []:
         df = df.withColumn(f"{c}_length", F.length(c).cast("bigint"))
-    lay_out(df, cluster_by, hash_by).write.mode("overwrite").parquet(target)
+    return lay_out(df, cluster_by, hash_by)
+
+
+def load(spark: SparkSession, source: str, target: str, casts: dict[str, str] | None = None, cluster_by: list[str] | None = None, hash_by: list[str] | None = None, row_lengths: list[str] | None = None, format: str | None = None) -> DataFrame:
+    """Writes a source as Parquet laid out for reading. row_lengths: text columns whose length becomes a column."""
+    prepared(read(spark, source, format), casts, cluster_by, hash_by, row_lengths).write.mode("overwrite").parquet(target)
     return spark.read.parquet(target)
 
 

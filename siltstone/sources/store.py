@@ -31,13 +31,33 @@ class Store:
         return self._jvm.org.apache.hadoop.fs.Path(path)
 
     def refresh(self) -> None:
-        text = self.spark.read.text(f"{self.root}/catalog.json", wholetext=True).first()[0]
-        self.tables: dict[str, dict] = json.loads(text)["tables"]
+        held = self._held()
+        self.tables: dict[str, dict] = held["tables"]
+        self.version = held.get("version", 0)
+
+    def _held(self) -> dict:
+        """The catalogue as it is now."""
+        stream = self._fs.open(self._path(f"{self.root}/catalog.json"))
+        try:
+            return json.loads(self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        finally:
+            stream.close()
 
     def _save(self, catalog: dict | None = None) -> None:
+        """A change made elsewhere since this catalogue was read is an error, not overwritten. Each version is claimed by
+        creating its own file, which only one writer can."""
+        if catalog is None:
+            if (now := self._held().get("version", 0)) != self.version:
+                self.refresh()
+                raise RuntimeError(f"the catalogue changed meanwhile (version {now}); the change was not made")
+            claim = self._path(f"{self.root}/.claim-{self.version + 1}")
+            if not self._fs.createNewFile(claim):
+                raise RuntimeError(f"version {self.version + 1} of the catalogue is being written by another; the change was not made")
+            self._fs.delete(self._path(f"{self.root}/.claim-{self.version}"), False)
+            self.version += 1
         new = f"{self.root}/.catalog-{uuid.uuid4().hex}"
         out = self._fs.create(self._path(new))
-        out.write(bytearray(json.dumps(catalog or {"tables": self.tables}).encode()))
+        out.write(bytearray(json.dumps(catalog or {"tables": self.tables, "version": self.version}).encode()))
         out.close()
         target = self._path(f"{self.root}/catalog.json")
         if not self._fs.rename(self._path(new), target):  # some file systems don't rename onto a file
@@ -135,6 +155,14 @@ class Store:
     def append(self, name: str, df: DataFrame, columns: list[str] | None = None) -> int:
         """Columns by place; those not given take their defaults."""
         t = self._table(name)
+        segment = self._write(name, self.fitted(name, df, columns))
+        t["segments"].append(segment)
+        self._save()
+        return self.read(name, [segment]).count()
+
+    def fitted(self, name: str, df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+        """With the table's columns and types."""
+        t = self._table(name)
         columns = columns or [c for c, _ in t["columns"]]
         if len(columns) != len(df.columns):
             raise ValueError(f"{len(df.columns)} values for {len(columns)} columns")
@@ -142,10 +170,7 @@ class Store:
         if missing := set(columns) - set(dict(t["columns"])):
             raise ValueError(f"no columns {sorted(missing)}")
         picked = [(F.col(f"`{given[c]}`") if c in given else F.expr(t["defaults"].get(c, "NULL"))).cast(k).alias(c) for c, k in t["columns"]]
-        segment = self._write(name, df.select(*picked))
-        t["segments"].append(segment)
-        self._save()
-        return self.read(name, [segment]).count()
+        return df.select(*picked)
 
     def _replace(self, name: str, hit, changed) -> int:
         """Rewrites the segments that hold rows for which `hit` is true, through changed(DataFrame)."""

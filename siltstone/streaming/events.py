@@ -36,7 +36,8 @@ def maintained_counts(events: DataFrame, keys: list[str], table: str, read: Call
         new = batch.groupBy(*keys).agg(F.count("*").alias("n"))
         old = read()
         if old is not None:
-            if (old.agg(F.max("batch")).first()[0] or -1) >= number:
+            done = old.agg(F.max("batch")).first()[0]
+            if done is not None and done >= number:
                 return
             new = old.select(*keys, "n").unionByName(new).groupBy(*keys).agg(F.sum("n").alias("n"))
         replace(new.withColumn("batch", F.lit(number).cast("long")))
