@@ -124,7 +124,7 @@ class Database:
             changed = getattr(self, "_" + word.lower())(nodes)
             self.refresh()
             return self.spark.createDataFrame([(changed,)], "changed long")
-        return self.spark.sql(sqlfront.translate(sql))
+        return sqlfront.run(self.spark, sql)
 
     def execute(self, sql: str) -> Cursor:
         return Cursor(self.run(sql))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from ..sources.scratch import folder
 from .relational import nulls_last
 
 
@@ -36,6 +37,27 @@ def share(column: str, keys: list[str]) -> Column:
     return F.try_divide(F.col(column), total(F.sum(column), keys))
 
 
+def numbered(df: DataFrame, order: list[Column], name: str) -> tuple[DataFrame, int]:
+    """Rows numbered from 1 in an order over all of them, and how many there are. Rows are sorted in ranges, written so
+    that the ranges stay as they are, and counted by range; only the counts reach the driver."""
+    spark = df.sparkSession
+    path = folder(spark, "numbered")
+    place = F.monotonically_increasing_id()  # the range in the upper bits, the place in it below
+    df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(name, place).write.parquet(path)
+    rows = spark.read.parquet(path)
+    part, at = F.shiftright(name, 33), F.col(name).bitwiseAND(F.lit((1 << 33) - 1))
+    counts = sorted((r.part, r.n) for r in rows.groupBy(part.alias("part")).agg(F.count("*").alias("n")).collect())
+    before, total = [], 0
+    for k, n in counts:
+        before.append((k, total))
+        total += n
+    if not before:
+        return rows, 0
+    offsets = spark.createDataFrame(before, "__part long, __before long")
+    out = rows.join(F.broadcast(offsets), part == F.col("__part"))
+    return out.withColumn(name, at + F.col("__before") + 1).drop("__part", "__before"), total
+
+
 def with_sessions(df: DataFrame, time: str, gap_seconds: float, keys: list[str], *ties: str) -> DataFrame:
     """Adds `session`, the number of a row's session in its group, from 0: a new one begins after a gap."""
     w = ordered(keys, time, *ties)

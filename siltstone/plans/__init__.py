@@ -14,7 +14,7 @@ from .frames import FRAMES
 
 def run_sql(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     """A query in the engine's dialect over the tables of a folder; leaves no view or setting in the session."""
-    return spark.sql(sqlfront.with_tables(sql, {t: f"{sf_dir}/{t}.parquet" for t in TABLES}))
+    return sqlfront.run(spark, sql, {t: f"{sf_dir}/{t}.parquet" for t in TABLES})
 
 
 def _of(sql: str) -> Callable[[SparkSession, str], DataFrame]:

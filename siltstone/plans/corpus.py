@@ -124,6 +124,10 @@ PROJECTION = {
     "filter_or": "SELECT event_id FROM events WHERE (event_type = 'click' OR event_type = 'view') AND NOT (value > 50) AND user_id < 20",
     "filter_boolean": "SELECT k FROM (SELECT n_nationkey AS k, n_regionkey = 1 AS b FROM nation) t WHERE b",
     "filter_function": "SELECT doc_id FROM documents WHERE LENGTH(text) > 5000 AND UPPER(lang) = 'EN'",
+    "filter_like_escape": "SELECT n_name, n_name LIKE 'NATION!_1%' ESCAPE '!' AS a, 'a%b' LIKE 'a\\%b' ESCAPE '\\' AS b FROM nation",
+    "int_divide_double": "SELECT o_orderkey, o_totalprice // 1000 AS q FROM orders WHERE o_totalprice > 0",
+    "date_minus_date": "SELECT o_orderkey, CAST(o_orderdate AS DATE) - DATE '1995-01-01' AS days FROM orders",
+    "substr_from_zero": "SELECT SUBSTR(n_name, 0, 3) AS s FROM nation",
     "filter_count": "SELECT COUNT(*) AS n FROM lineitem WHERE l_returnflag = 'R' AND l_discount > 0.05 AND l_quantity <= 10",
     "count_complement": "SELECT COUNT(*) AS n FROM events WHERE event_type <> 'click'",
     "echo_rows": "SELECT event_type FROM events WHERE event_type = 'signup'",
@@ -235,6 +239,8 @@ WINDOWS = {
     "win_row_number": "SELECT o_orderkey, ROW_NUMBER() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS rn FROM orders",
     "win_rank": "SELECT l_orderkey, l_linenumber, l_partkey, RANK() OVER (PARTITION BY l_suppkey ORDER BY l_quantity) AS r, DENSE_RANK() OVER (PARTITION BY l_suppkey ORDER BY l_quantity) AS d FROM lineitem",
     "win_ntile": "SELECT c_custkey, NTILE(7) OVER (ORDER BY c_acctbal, c_custkey) AS t FROM customer",
+    "win_ntile_few": "SELECT n_name, NTILE(40) OVER (ORDER BY n_name DESC) AS t, ROW_NUMBER() OVER (ORDER BY n_name DESC) AS r FROM nation WHERE n_nationkey > 3",
+    "win_whole_filtered": "SELECT o_orderkey, COUNT(*) OVER () AS n, ROUND(o_totalprice / SUM(o_totalprice) OVER () * 1000, 6) AS part FROM orders WHERE o_orderstatus = 'F'",
     "win_lag_lead": "SELECT event_id, LAG(value, 1) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p, LEAD(value, 2) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS f FROM events",
     "win_first_value": "SELECT o_orderkey, FIRST_VALUE(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS f FROM orders",
     "win_totals": "SELECT c_custkey, COUNT(*) OVER (PARTITION BY c_nationkey) AS n, ROUND(SUM(c_acctbal) OVER (PARTITION BY c_nationkey), 2) AS s, MAX(c_acctbal) OVER (PARTITION BY c_mktsegment) AS m, ROUND(AVG(c_acctbal) OVER (), 6) AS a FROM customer",

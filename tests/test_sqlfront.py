@@ -1,6 +1,7 @@
 import duckdb
 import pytest
 
+from siltstone import plans
 from siltstone.functions import semantics, sqlfront
 
 from .compare import assert_same
@@ -63,3 +64,35 @@ def test_errors():
         sqlfront.translate("SELECT 1)")
     with pytest.raises(ValueError):
         semantics.date_pattern("%Q")
+
+
+def plan_of(df):
+    return df.sparkSession._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "simple")
+
+
+def test_plans_for_large_tables(spark, sf):
+    """No window over all rows in one task, and no join by broadcasting whatever NOT IN reads."""
+    for name in ("win_ntile", "win_ntile_few", "win_filtered", "win_totals", "win_whole_filtered"):
+        assert "Window" not in plan_of(plans.QUERIES[name](spark, sf)) or name == "win_totals", name
+        assert "windowspecdefinition(specifiedwindowframe" not in plan_of(plans.QUERIES[name](spark, sf)), name
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for name in ("anti_not_in", "anti_not_all", "tpch_q16"):
+            if name in plans.QUERIES:
+                assert "BroadcastHashJoin" not in plan_of(plans.QUERIES[name](spark, sf)) and "BroadcastNestedLoopJoin" not in plan_of(plans.QUERIES[name](spark, sf)), name
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_numbers_in_order(spark):
+    from pyspark.sql import functions as F
+
+    from siltstone.operators import windows
+
+    df = spark.range(0, 5000, 1, 7).select((F.col("id") % 40).alias("a"), F.col("id").alias("b"))
+    out, total = windows.numbered(df, [F.col("a").desc(), F.col("b").asc()], "rn")
+    want = sorted(((i % 40, i) for i in range(5000)), key=lambda r: (-r[0], r[1]))
+    assert total == 5000 and [(r.a, r.b) for r in sorted(out.collect(), key=lambda r: r.rn)] == want
+    assert sorted(r.rn for r in out.collect()) == list(range(1, 5001))
+    assert windows.numbered(df.limit(0), [F.col("a")], "rn")[0].count() == 0
