@@ -26,6 +26,8 @@ from .common import materialize
 
 #: Of an old shard.
 BLOCKS = 2048
+#: Of rows that one file of a rewritten shard holds, about.
+FILE_BYTES = 128 << 20
 
 
 def min_cost_flow(supply: list[int], capacity: list[int], cost: list[list[int]]) -> dict[tuple[int, int], int]:
@@ -76,7 +78,7 @@ def min_cost_flow(supply: list[int], capacity: list[int], cost: list[list[int]])
 @dataclass
 class Plan:
     flow: dict[tuple[int, int], int]
-    #: old, block, shard, base (slot of the block's first row)
+    #: old, block, shard, base (slot of the block's first row), before (bytes of the shard's blocks before it)
     blocks: pd.DataFrame
     moved_bytes: int
 
@@ -102,13 +104,14 @@ def plan(sizes: pd.DataFrame, old_shards: int, capacity: list[int]) -> Plan:
             to = max(left, key=lambda j: (left[j], j == old, -j))
             left[to] -= size
             moved += size if to != old else 0
-            rows.append((old, block, to, n))
+            rows.append((old, block, to, n, size))
         for (i, j), _ in flow.items():
             if i == old:
                 over[j] = -left[j]
-    blocks = pd.DataFrame(rows, columns=["old", "block", "shard", "n"]).astype("int64").sort_values(["shard", "old", "block"])
+    blocks = pd.DataFrame(rows, columns=["old", "block", "shard", "n", "bytes"]).astype("int64").sort_values(["shard", "old", "block"])
     blocks["base"] = blocks.groupby("shard")["n"].cumsum() - blocks["n"]
-    return Plan(flow, blocks[["old", "block", "shard", "base"]].astype("int64"), int(moved))
+    blocks["before"] = blocks.groupby("shard")["bytes"].cumsum() - blocks["bytes"]
+    return Plan(flow, blocks[["old", "block", "shard", "base", "before"]].astype("int64"), int(moved))
 
 
 def reshard(docs: DataFrame, old_shard: Column, old_shards: int, new_shards: int, id_col: str = "doc_id", text_col: str = "text", overhead: int = 16, blocks: int = BLOCKS) -> tuple[DataFrame, Plan]:
@@ -139,25 +142,27 @@ def _keys(old_shard: Column, id_col: str, text_col: str, overhead: int, blocks:
 
 
 def _targets(df: DataFrame, made: Plan) -> DataFrame:
-    schema = "to_old long, to_block long, shard long, base long"
+    schema = "to_old long, to_block long, shard long, base long, before long"
     rows = df.sparkSession.createDataFrame(made.blocks, schema) if len(made.blocks) else df.sparkSession.createDataFrame([], schema)
-    return rows.select(F.col("to_old").cast("int"), F.col("to_block").cast("int"), F.col("shard").cast("int"), "base")
+    return rows.select(F.col("to_old").cast("int"), F.col("to_block").cast("int"), F.col("shard").cast("int"), "base", "before")
 
 
-def rewrite(docs: DataFrame, old_shard: Column, made: Plan, path: str, id_col: str = "doc_id", text_col: str = "text", overhead: int = 16, blocks: int = BLOCKS, rows_per_file: int = 200_000) -> list[int]:
+def rewrite(docs: DataFrame, old_shard: Column, made: Plan, path: str, id_col: str = "doc_id", text_col: str = "text", overhead: int = 16, blocks: int = BLOCKS, file_bytes: int = FILE_BYTES) -> list[int]:
     """Writes the shards whose contents change to path/shard=N, in files by slot, and leaves the other folders of the
     dataset as they are; folders of changed shards that hold no row any more go. A row is placed from its own columns,
     as reshard() does with the same arguments, so rows that repeat an identifier or have none are written once each.
-    The dataset's rows must not be read from `path` itself. Returns the shards that change."""
+    Whole blocks make a file, so rows are shuffled once: what deals them to files also brings a block together for its
+    slots. The dataset's rows must not be read from `path` itself. Returns the shards that change."""
     changed = made.affected()
     named = [f"__k_{c}" for c in ("doc_id", "size", "text_crc32", "old", "block")]
     kept = [c for c in docs.columns if c not in ("shard", "slot")]
     keyed = docs.select(*kept, *[c.alias(n) for c, n in zip(_keys(old_shard, id_col, text_col, overhead, blocks), named)])
     targets = _targets(docs, made).filter(F.col("shard").isin(changed))
     placed = keyed.join(F.broadcast(targets), (F.col("__k_old") == F.col("to_old")) & (F.col("__k_block") == F.col("to_block")))
-    rank = F.row_number().over(Window.partitionBy("__k_old", "__k_block").orderBy("__k_doc_id", "__k_text_crc32", "__k_size"))
-    out = placed.withColumn("slot", (F.col("base") + rank - 1).cast("long")).select(*kept, "shard", "slot", F.floor(F.col("slot") / rows_per_file).alias("__part"))
-    out = out.repartition("shard", "__part").drop("__part").sortWithinPartitions("shard", "slot")
+    dealt = placed.withColumn("__file", F.floor(F.col("before") / file_bytes)).repartition("shard", "__file")
+    # sorted by block as the slots are, so the files are in slot order
+    rank = F.row_number().over(Window.partitionBy("shard", "__file", "__k_old", "__k_block").orderBy("__k_doc_id", "__k_text_crc32", "__k_size"))
+    out = dealt.withColumn("slot", (F.col("base") + rank - 1).cast("long")).select(*kept, "shard", "slot")
     out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard").parquet(path)
     sc = docs.sparkSession.sparkContext
     for j in set(changed) - {int(j) for j in made.blocks["shard"]}:
