@@ -122,7 +122,7 @@ def api_columnar(spark, d):
 @query("SELECT p_partkey AS k, p_size AS z FROM part WHERE p_size > 45")
 def api_stream(spark, d):
     blocks = _database(spark, d, "part").stream("SELECT p_partkey AS k, p_size AS z FROM part WHERE p_size > 45", 100)
-    return spark.createDataFrame([r for block in blocks for r in block if len(block) <= 100], "k long, z long")
+    return spark.createDataFrame([r for block in blocks for r in block if len(block) <= 100], "k long, z int")
 
 
 @query("SELECT COUNT(*) AS rows, TRUE AS timed, TRUE AS pushed FROM lineitem WHERE l_quantity > 40")
@@ -269,7 +269,7 @@ def api_prewarm(spark, d):
     held = db.spark.catalog.isCached("nation")
     rows = db.execute("SELECT n_regionkey, COUNT(*) FROM nation GROUP BY n_regionkey").fetchall()
     db.spark.catalog.uncacheTable("nation")
-    return spark.createDataFrame([(k, n, held) for k, n in rows], "k long, n long, held boolean")
+    return spark.createDataFrame([(k, n, held) for k, n in rows], "k int, n long, held boolean")
 
 
 @query("SELECT r_regionkey AS k, r_name AS name FROM region WHERE r_regionkey > 1 ORDER BY 1")
