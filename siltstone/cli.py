@@ -1,4 +1,4 @@
-"""python -m siltstone.cli DB COMMAND ...: init, load, sql, file, shell, explain, tables, stats, audit, compact, recluster, retype, flush, vacuum."""
+"""python -m siltstone.cli DB COMMAND ...: init, load, sql, file, shell, explain, tables, stats, audit, compact, recluster, retype, flush, vacuum, serve."""
 
 from __future__ import annotations
 
@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 
 from .api import Database
 from .operators import statistics
+from .server import server
 from .session import session
 
 
@@ -47,7 +48,7 @@ def main(args: list[str] | None = None) -> int:
     p.add_argument("--format", choices=("table", "csv", "tsv", "json"), default="table")
     p.add_argument("--master")
     sub = p.add_subparsers(dest="command", required=True)
-    for name, given in {"init": [], "tables": [], "shell": [], "vacuum": [], "sql": ["text"], "explain": ["text"], "file": ["path"], "stats": ["table"], "audit": ["table"], "compact": ["table"], "flush": ["table"], "recluster": ["table", "key"], "retype": ["table"], "load": ["table", "path"]}.items():
+    for name, given in {"init": [], "tables": [], "shell": [], "vacuum": [], "sql": ["text"], "explain": ["text"], "file": ["path"], "stats": ["table"], "audit": ["table"], "compact": ["table"], "flush": ["table"], "recluster": ["table", "key"], "retype": ["table"], "load": ["table", "path"], "serve": []}.items():
         s = sub.add_parser(name)
         for g in given:
             s.add_argument(g)
@@ -58,6 +59,10 @@ def main(args: list[str] | None = None) -> int:
             s.add_argument("--cast", nargs="+", default=[], metavar="COLUMN=CAST")
         if name == "explain":
             s.add_argument("--analyze", action="store_true")
+        if name == "serve":
+            s.add_argument("--host", default="127.0.0.1")
+            s.add_argument("--port", type=int, default=8765)
+            s.add_argument("--timeout", type=float, metavar="SECONDS")
         if name == "retype":
             s.add_argument("casts", nargs="+", metavar="COLUMN=CAST")
     a = p.parse_args(args)
@@ -91,6 +96,8 @@ def main(args: list[str] | None = None) -> int:
         db.flush(a.table)
     elif a.command == "vacuum":
         print(db.store.vacuum())
+    elif a.command == "serve":
+        server(db, a.host, a.port, a.timeout).serve_forever()
     elif a.command == "shell":
         for line in sys.stdin:
             for s in statements(line):

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .windows import numbered
+
 
 def affine_sums(df: DataFrame, column: str, shifts: list[int], keys: list[str] | None = None) -> DataFrame:
     """SUM(column + k) for many k, from one sum and one count."""
@@ -50,3 +54,42 @@ def merge_distinct(parts: list[DataFrame], keys: list[str], target: str) -> Data
         out = one if out is None else out.unionByName(one)
     pairs = out.groupBy(*keys, target).agg(F.sum("__n").alias("__n"))
     return pairs.groupBy(*keys).agg(F.count(target).alias("distinct_count"), F.sum("__n").alias("row_count"))
+
+
+def quantiles(df: DataFrame, keys: list[str], wanted: dict[str, tuple[Column, float, bool]]) -> DataFrame:
+    """Exact quantiles by group: name -> (value, part, whether to go between two values, as QUANTILE_CONT does, or to
+    take one of them). NULLs don't count; a group of nothing else has NULL. The values are numbered over all groups
+    in ranges of (key, value), so no group is in one task, and each quantile is one or two places among them."""
+    out = df.select(*keys).distinct() if keys else df.sparkSession.range(1).select(F.lit(1).alias("__one"))
+    key = [F.col(f"__k{i}") for i in range(len(keys))]
+    by_value: dict[str, list[str]] = {}
+    for name, (value, _, _) in wanted.items():
+        by_value.setdefault(value._jc.toString(), []).append(name)
+    for names in by_value.values():
+        value = wanted[names[0]][0]
+        rows = df.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], value.alias("__v")).filter(F.col("__v").isNotNull())
+        placed, total = numbered(rows, [*[k.asc_nulls_last() for k in key], F.col("__v").asc()], "__place")
+        ends = placed.groupBy(*key).agg(F.min("__place").alias("__first"), F.count("*").alias("__n")).filter("__n > 0")
+        places = []
+        for name in names:
+            _, part, between = wanted[name]
+            exact = F.lit(part) * (F.col("__n") - 1)
+            low = F.floor(exact) if between else F.greatest(F.ceil(F.lit(part) * F.col("__n")) - 1, F.lit(0))
+            places.append(F.struct(F.lit(name).alias("name"), (F.col("__first") + low).alias("at"), (exact - low if between else F.lit(0.0)).alias("rest"), F.lit(0).alias("side")))
+            if between:
+                places.append(F.struct(F.lit(name).alias("name"), (F.col("__first") + F.ceil(exact)).alias("at"), (exact - low).alias("rest"), F.lit(1).alias("side")))
+        asked = ends.select(F.explode(F.array(*places)).alias("p")).select("p.*")
+        met = placed.join(asked, placed["__place"] == asked["at"])
+        made = []
+        for name in names:
+            side = lambda s: F.max(F.when((F.col("name") == name) & (F.col("side") == s), F.col("__v")))  # noqa: E731, B023
+            rest = F.max(F.when(F.col("name") == name, F.col("rest")))
+            low, high = side(0).cast("double"), side(1).cast("double")
+            made.append((low + (high - low) * rest if wanted[name][2] else side(0)).alias(name))
+        one = met.groupBy(*key).agg(*made)
+        if keys:
+            same = functools.reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)])
+            out = out.join(one, same, "left").drop(*[f"__k{i}" for i in range(len(keys))])
+        else:
+            out = out.crossJoin(F.broadcast(one))  # one row
+    return out if keys else out.drop("__one")

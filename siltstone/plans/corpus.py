@@ -136,6 +136,8 @@ PROJECTION = {
     "compare_any": "SELECT s_suppkey FROM supplier WHERE s_acctbal < ANY (SELECT c_acctbal FROM customer WHERE c_nationkey = 3)",
     "compare_eq_any": "SELECT n_name FROM nation WHERE n_regionkey = ANY (SELECT r_regionkey FROM region WHERE r_regionkey < 2)",
     "qualify_topk": "SELECT o_custkey, o_orderkey, o_totalprice FROM orders QUALIFY ROW_NUMBER() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) <= 2",
+    "qualify_hidden_order": "SELECT o_orderkey FROM orders QUALIFY ROW_NUMBER() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) = 1 ORDER BY o_totalprice DESC, o_orderkey LIMIT 7",
+    "distinct_on_hidden_order": "SELECT DISTINCT ON (o_custkey) o_orderkey, o_totalprice FROM orders ORDER BY o_custkey, o_orderdate, o_orderkey LIMIT 25",
     "qualify_alias": "SELECT c_custkey, CAST(RANK() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_custkey) AS BIGINT) AS r FROM customer WHERE c_acctbal > 0 QUALIFY r = 1",
 }
 
@@ -311,6 +313,16 @@ JOB = {
     "job_empty": "SELECT MIN(p_name) AS p, MAX(c_name) AS c FROM part, lineitem, orders, customer WHERE p_partkey = l_partkey AND l_orderkey = o_orderkey AND o_custkey = c_custkey AND p_size > 9999",
     "job_count": "SELECT COUNT(*) AS n, ROUND(SUM(l_quantity), 2) AS q, ROUND(AVG(c_acctbal), 6) AS a FROM lineitem, orders, customer, nation, region WHERE l_orderkey = o_orderkey AND o_custkey = c_custkey AND c_nationkey = n_nationkey AND n_regionkey = r_regionkey AND r_regionkey IN (0, 3) AND l_tax < 0.03",
     "job_self_nation": "SELECT MIN(a.c_name) AS x, MAX(b.c_name) AS y, COUNT(*) AS n FROM customer a, customer b, nation WHERE a.c_nationkey = n_nationkey AND b.c_nationkey = n_nationkey AND a.c_custkey < b.c_custkey AND a.c_acctbal > 9000 AND b.c_acctbal < 0",
+    "job_brand_or": "SELECT MIN(p_name) AS p, MIN(s_name) AS s, MIN(o_orderdate) AS d FROM part, lineitem, supplier, orders WHERE p_partkey = l_partkey AND s_suppkey = l_suppkey AND o_orderkey = l_orderkey AND (p_brand = 'Brand#7' OR p_brand = 'Brand#9' OR p_name LIKE '%widget%') AND o_orderdate BETWEEN TIMESTAMP '1996-01-01 00:00:00' AND TIMESTAMP '1997-06-30 00:00:00'",
+    "job_nested_or": "SELECT MIN(c_name) AS c, MAX(n_name) AS n FROM customer, nation, orders WHERE c_nationkey = n_nationkey AND o_custkey = c_custkey AND (o_orderpriority LIKE '1%' OR o_orderpriority LIKE '2%' AND o_totalprice > 200000) AND (c_mktsegment = 'BUILDING' OR c_acctbal > 5000)",
+    "job_both_nations": "SELECT MIN(n1.n_name) AS a, MAX(n2.n_name) AS b, COUNT(*) AS n FROM supplier, lineitem, orders, customer, nation n1, nation n2 WHERE s_suppkey = l_suppkey AND o_orderkey = l_orderkey AND c_custkey = o_custkey AND s_nationkey = n1.n_nationkey AND c_nationkey = n2.n_nationkey AND n1.n_regionkey <> n2.n_regionkey AND l_quantity > 45",
+    "job_not_like": "SELECT MIN(p_type) AS t, MIN(p_name) AS p FROM part, lineitem WHERE p_partkey = l_partkey AND p_name NOT LIKE '%widget%' AND p_type IS NOT NULL AND p_type NOT IN ('ECONOMY', 'PROMO') AND l_returnflag <> 'N'",
+    "job_eight_tables": "SELECT MIN(c_name) AS c, MIN(s_name) AS s, MIN(p_name) AS p, COUNT(*) AS n FROM region r1, nation n1, customer, orders, lineitem, part, supplier, nation n2 WHERE r1.r_regionkey = n1.n_regionkey AND n1.n_nationkey = c_nationkey AND c_custkey = o_custkey AND o_orderkey = l_orderkey AND l_partkey = p_partkey AND l_suppkey = s_suppkey AND s_nationkey = n2.n_nationkey AND n2.n_regionkey = r1.r_regionkey AND p_size < 20 AND o_orderstatus IN ('F', 'O')",
+    "job_transitive": "SELECT MIN(a.o_totalprice) AS lo, MAX(a.o_totalprice) AS hi FROM orders a, lineitem b, lineitem c WHERE a.o_orderkey = b.l_orderkey AND b.l_orderkey = c.l_orderkey AND a.o_orderkey = c.l_orderkey AND b.l_linenumber < c.l_linenumber AND b.l_returnflag = 'R' AND c.l_returnflag = 'A'",
+    "job_events_users": "SELECT MIN(c_name) AS c, COUNT(*) AS n, COUNT(DISTINCT user_id) AS u FROM events, customer, nation WHERE user_id = c_custkey AND c_nationkey = n_nationkey AND event_type = 'purchase' AND n_regionkey > 1",
+    "job_document_labels": "SELECT MIN(source) AS s, MAX(lang) AS l, COUNT(*) AS n FROM documents, labels WHERE documents.doc_id = labels.doc_id AND quality = 1 AND toxic = 0 AND n_chars BETWEEN 200 AND 4000",
+    "job_region_count": "SELECT r_name, COUNT(*) AS n, MIN(o_orderpriority) AS p FROM region, nation, customer, orders WHERE r_regionkey = n_regionkey AND n_nationkey = c_nationkey AND c_custkey = o_custkey AND o_totalprice > 250000 GROUP BY r_name HAVING COUNT(*) > 1",
+    "job_count_self": "SELECT COUNT(*) AS n FROM nation a, nation b, region WHERE a.n_regionkey = b.n_regionkey AND b.n_regionkey = r_regionkey AND a.n_nationkey <> b.n_nationkey",
 }
 
 #: The shapes of a web analytics board, on events, pages, documents and conversations.
@@ -334,6 +346,33 @@ BOARD = {
     "board_first_turns": "SELECT role, COUNT(*) AS n, COUNT(DISTINCT conv_id) AS k FROM conversations GROUP BY role",
     "board_conversation_length": "SELECT n, COUNT(*) AS c FROM (SELECT conv_id, COUNT(*) AS n FROM conversations GROUP BY conv_id) t GROUP BY n",
     "board_point": "SELECT event_id, user_id, ts FROM events WHERE user_id = 17",
+    "board_not_zero": "SELECT COUNT(*) AS c FROM events WHERE user_id <> 0",
+    "board_avg_key": "SELECT ROUND(AVG(user_id), 6) AS a FROM events",
+    "board_distinct_text": "SELECT COUNT(DISTINCT props) AS p FROM events",
+    "board_users_by_type": "SELECT event_type, COUNT(DISTINCT user_id) AS u FROM events GROUP BY event_type ORDER BY u DESC, event_type LIMIT 10",
+    "board_many_by_type": "SELECT event_type, ROUND(SUM(value), 4) AS s, COUNT(*) AS c, ROUND(AVG(user_id), 6) AS a, COUNT(DISTINCT user_id) AS u FROM events GROUP BY event_type ORDER BY c DESC, event_type LIMIT 10",
+    "board_users_by_text": "SELECT props, COUNT(DISTINCT user_id) AS u FROM events WHERE props <> '' GROUP BY props ORDER BY u DESC, props LIMIT 10",
+    "board_users_by_pair": "SELECT event_type, props, COUNT(DISTINCT user_id) AS u FROM events WHERE props <> '' GROUP BY event_type, props ORDER BY u DESC, event_type, props LIMIT 10",
+    "board_top_text": "SELECT props, COUNT(*) AS c FROM events WHERE props <> '' GROUP BY props ORDER BY c DESC, props LIMIT 10",
+    "board_top_type_text": "SELECT event_type, props, COUNT(*) AS c FROM events WHERE props <> '' GROUP BY event_type, props ORDER BY c DESC, event_type, props LIMIT 10",
+    "board_top_users": "SELECT user_id, COUNT(*) AS c FROM events GROUP BY user_id ORDER BY c DESC, user_id LIMIT 10",
+    "board_user_minute_type": "SELECT user_id, EXTRACT(MINUTE FROM ts) AS m, event_type, COUNT(*) AS c FROM events GROUP BY user_id, m, event_type ORDER BY c DESC, user_id, m, event_type LIMIT 10",
+    "board_like_two": "SELECT lang, MIN(source) AS first_source, MIN(text) AS first_text, COUNT(*) AS c, COUNT(DISTINCT source) AS u FROM documents WHERE text LIKE '%the%' AND source NOT LIKE '%.none.%' AND lang <> '' GROUP BY lang ORDER BY c DESC, lang LIMIT 10",
+    "board_like_rows": "SELECT * FROM pages WHERE url LIKE '%utm_source%' ORDER BY url, page_id LIMIT 10",
+    "board_order_time_text": "SELECT event_type, props FROM events WHERE props <> '' ORDER BY ts, props, event_id LIMIT 10",
+    "board_host": "SELECT REGEXP_REPLACE(url, '^https?://(?:www\\.)?([^/]+)/.*$', '\\1') AS host, ROUND(AVG(LENGTH(url)), 4) AS l, COUNT(*) AS c, MIN(url) AS first_url FROM pages WHERE url <> '' GROUP BY host HAVING COUNT(*) > 1 ORDER BY l DESC, host LIMIT 25",
+    "board_many_sums": "SELECT " + ", ".join(f"CAST(SUM(n_chars + {k}) AS BIGINT) AS s{k}" for k in range(90)) + " FROM documents",
+    "board_pair_sums": "SELECT event_type, user_id, COUNT(*) AS c, ROUND(SUM(value), 4) AS s, ROUND(AVG(value), 6) AS a FROM events WHERE props <> '' GROUP BY event_type, user_id ORDER BY c DESC, event_type, user_id LIMIT 10",
+    "board_key_sums": "SELECT event_id, user_id, COUNT(*) AS c, ROUND(SUM(value), 4) AS s FROM events GROUP BY event_id, user_id ORDER BY c DESC, event_id LIMIT 10",
+    "board_key_sums_filtered": "SELECT event_id, user_id, COUNT(*) AS c, ROUND(SUM(value), 4) AS s FROM events WHERE props <> '' GROUP BY event_id, user_id ORDER BY c DESC, event_id LIMIT 10",
+    "board_top_url": "SELECT url, COUNT(*) AS c FROM pages GROUP BY url ORDER BY c DESC, url LIMIT 10",
+    "board_constant_url": "SELECT 1 AS one, url, COUNT(*) AS c FROM pages GROUP BY one, url ORDER BY c DESC, url LIMIT 10",
+    "board_period": "SELECT props, COUNT(*) AS views FROM events WHERE user_id < 30 AND ts >= TIMESTAMP '2024-01-05 00:00:00' AND ts <= TIMESTAMP '2024-01-20 00:00:00' AND event_type = 'click' AND props <> '' GROUP BY props ORDER BY views DESC, props LIMIT 10",
+    "board_period_offset": "SELECT props, COUNT(*) AS views FROM events WHERE ts >= TIMESTAMP '2024-01-05 00:00:00' AND event_type <> 'error' AND value <> 0 GROUP BY props ORDER BY views DESC, props LIMIT 10 OFFSET 20",
+    "board_five_keys": "SELECT event_type, user_id, EXTRACT(DAY FROM ts) AS d, CASE WHEN event_type = 'view' AND value > 50 THEN props ELSE '' END AS src, props AS dst, COUNT(*) AS views FROM events WHERE user_id < 60 GROUP BY event_type, user_id, d, src, dst ORDER BY views DESC, event_type, user_id, d, src, dst LIMIT 10 OFFSET 30",
+    "board_day_in": "SELECT user_id, CAST(ts AS DATE) AS day, COUNT(*) AS views FROM events WHERE event_type IN ('view', 'purchase') AND user_id IN (3, 5, 8, 13) GROUP BY user_id, day ORDER BY views DESC, user_id, day LIMIT 10 OFFSET 10",
+    "board_two_sizes": "SELECT n_chars, lang, COUNT(*) AS views FROM documents WHERE source <> '' GROUP BY n_chars, lang ORDER BY views DESC, n_chars, lang LIMIT 10 OFFSET 5",
+    "board_groups_any": "SELECT COUNT(*) AS n, COUNT(c) AS m, MIN(c) > 0 AS some FROM (SELECT user_id, event_type, COUNT(*) AS c FROM events GROUP BY user_id, event_type LIMIT 10) t",
 }
 
 SQL: dict[str, str] = {**TPCH, **PROJECTION, **JOINS, **SUBQUERIES, **AGGREGATES, **WINDOWS, **ORDER_AND_SETS, **SCALARS, **H2O, **JOB, **BOARD}

@@ -7,6 +7,8 @@ import contextlib
 import csv
 import io
 import json
+import threading
+import urllib.request
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +17,7 @@ from ..api import Database
 from ..operators import aggregates as A
 from ..operators import joins as J
 from ..operators import statistics as T
+from ..server import server
 from ..sources import readers
 from ..sources.scratch import folder
 from ..sources.tables import table
@@ -295,6 +298,35 @@ def cli_session(spark, d):
     return spark.createDataFrame([(int(k), name) for k, name in rows[1:]], "k int, name string")
 
 
+@query("SELECT n_regionkey AS k, COUNT(*) AS n, (SELECT COUNT(*) FROM nation) AS inserted, 'nation,t' AS tables FROM nation GROUP BY n_regionkey")
+def api_server(spark, d):
+    """A table made, filled and read over HTTP."""
+    made = server(_database(spark, d, "nation"), port=0)
+    threading.Thread(target=made.serve_forever, daemon=True).start()
+
+    def ask(path: str, **body):
+        data = json.dumps(body).encode() if body else None
+        with urllib.request.urlopen(urllib.request.Request(f"http://127.0.0.1:{made.server_port}{path}", data)) as f:
+            return json.load(f)
+
+    try:
+        ask("/sql", sql="CREATE TABLE t (k BIGINT)")
+        inserted = ask("/sql", sql="INSERT INTO t SELECT n_regionkey FROM nation")["rows"][0][0]
+        rows = ask("/sql", sql="SELECT k, COUNT(*) AS n FROM t GROUP BY k")["rows"]
+        tables = ",".join(ask("/tables")["tables"])
+    finally:
+        made.shutdown()
+        made.server_close()
+    return spark.createDataFrame([(k, n, inserted, tables) for k, n in rows], "k int, n long, inserted long, tables string")
+
+
+@query("SELECT l_returnflag, l_linestatus, MEDIAN(l_extendedprice) AS m, QUANTILE_DISC(l_partkey, 0.25) AS q FROM lineitem GROUP BY l_returnflag, l_linestatus")
+def df_quantiles(spark, d):
+    """No task holds the values of a group."""
+    wanted = {"m": (F.col("l_extendedprice"), 0.5, True), "q": (F.col("l_partkey"), 0.25, False)}
+    return A.quantiles(table(spark, d, "lineitem"), ["l_returnflag", "l_linestatus"], wanted)
+
+
 @query("SELECT event_type, COUNT(DISTINCT user_id) AS distinct_count, COUNT(*) AS row_count FROM events WHERE event_type <> 'click' GROUP BY event_type")
 def api_group_distinct(spark, d):
     db = Database.create(spark, folder(spark, "db"))

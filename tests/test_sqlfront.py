@@ -4,7 +4,7 @@ import pytest
 from siltstone import plans
 from siltstone.functions import semantics, sqlfront
 
-from .compare import assert_same
+from .compare import assert_same, connect
 
 SAME = [
     r"SELECT 'a\b' AS a, 'it''s' AS b, '\d+' AS c",
@@ -96,3 +96,25 @@ def test_numbers_in_order(spark):
     assert total == 5000 and [(r.a, r.b) for r in sorted(out.collect(), key=lambda r: r.rn)] == want
     assert sorted(r.rn for r in out.collect()) == list(range(1, 5001))
     assert windows.numbered(df.limit(0), [F.col("a")], "rn")[0].count() == 0
+
+
+def test_quantiles_in_ranges(spark, sf, monkeypatch):
+    """Beyond a size no state holds a group's values, with equal results."""
+    con = connect(sf)
+    monkeypatch.setattr(sqlfront, "PERCENTILE_BYTES", 0)
+    for sql in (
+        plans.ORACLE_SQL["agg_median"],
+        plans.ORACLE_SQL["agg_quantile"],
+        plans.ORACLE_SQL["h2o_group_q6"],
+        "SELECT MEDIAN(o_totalprice) AS m, COUNT(*) AS n FROM orders WHERE o_orderkey < 0",
+        "SELECT l_returnflag, MEDIAN(NULLIF(l_linenumber, 3)) AS m, QUANTILE_DISC(l_quantity, 0.25) AS q FROM lineitem GROUP BY l_returnflag HAVING MEDIAN(l_quantity) > 3 ORDER BY m, l_returnflag",
+        "SELECT k, MEDIAN(v) AS m, QUANTILE_DISC(v, 0) AS a, QUANTILE_DISC(v, 1) AS z FROM t GROUP BY k",
+    ):
+        if " t " in sql:
+            spark.createDataFrame([(1, 2.0), (1, None), (None, 5.0), (None, 7.0), (3, None)], "k int, v double").createOrReplaceTempView("t")
+            con.sql("CREATE TEMP TABLE t AS SELECT * FROM (VALUES (1, 2.0::DOUBLE), (1, NULL), (NULL, 5.0), (NULL, 7.0), (3, NULL)) v(k, v)")
+            df = sqlfront.run(spark, sql)
+        else:
+            df = plans.run_sql(spark, sf, sql)
+        assert "percentile" not in plan_of(df).lower()
+        assert_same(df, con.sql(sql))
