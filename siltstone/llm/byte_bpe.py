@@ -20,6 +20,7 @@ from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import xxhash
 from pyspark.sql import DataFrame
@@ -47,7 +48,9 @@ class ByteBPE:
         self.slots: list[tuple[bytes, int]] = [(b"", -1)] * len(self.vocabulary)
         for i, w in zip(at.tolist(), self.vocabulary):
             self.slots[i] = (w, ranks[w])
-        self.bytes_of = {i: w for w, i in ranks.items()}
+        #: by id its bytes; null where the vocabulary has no such id
+        of = {i: w for w, i in ranks.items()}
+        self.bytes_of = pa.array([of.get(i) for i in range(max(of, default=-1) + 1)], pa.binary())
         self.single = [ranks[bytes([b])] for b in range(256)]
         # by the left id and the right one, the id of their joined bytes
         self.pairs: list[dict[int, int]] = [{} for _ in range(max(ranks.values(), default=0) + 1)]
@@ -164,8 +167,19 @@ class ByteBPE:
     def encode(self, text: str) -> bytes:
         return self.encode_batch([text])[0]
 
-    def decode(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.bytes_of.__getitem__, ids))
+    def decode_batch(self, lists: pa.ListArray) -> pa.BinaryArray:
+        """The bytes of each list of ids; a null list counts as empty. The bytes of all ids, one after the other, are
+        the bytes of all lists: only the ends differ."""
+        ids = lists.flatten()  # without what null lists cover
+        if ids.null_count or len(ids) and not 0 <= pc.min(ids).as_py() <= pc.max(ids).as_py() < len(self.bytes_of):
+            raise ValueError("an id outside the vocabulary, or null")
+        found = self.bytes_of.take(ids)
+        if found.null_count:
+            raise ValueError("an id outside the vocabulary")
+        ends = np.cumsum([0, *pc.fill_null(pc.list_value_length(lists), 0).to_pylist()])
+        _, offsets, data = found.buffers()
+        at = np.frombuffer(offsets, np.int32, len(found) + 1, found.offset * 4) if len(found) else np.zeros(1, np.int32)
+        return pa.Array.from_buffers(pa.binary(), len(lists), [None, pa.py_buffer(at[ends].astype(np.int32).tobytes()), data if data is not None else pa.py_buffer(b"")])
 
 
 def kept_bpe(blob: bytes, pattern: str) -> ByteBPE:
@@ -179,11 +193,6 @@ def _lists(ids: list[bytes]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(ids), "<i4")))
 
 
-def _bytes_back(bpe: ByteBPE, lists: pa.ListArray) -> pa.Array:
-    """The bytes of each list of ids; a null list counts as empty."""
-    return pa.array([b"".join(map(bpe.bytes_of.__getitem__, x or ())) for x in lists.to_pylist()], pa.binary())
-
-
 def encode(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", decoded: bool = False) -> DataFrame:
     """id_col, ids array<int>; with `decoded` also decoded binary, the bytes that the ids give back."""
     blob = docs.sparkSession.sparkContext.broadcast(read_bytes(vocabulary))  # a fixed file of under 1 MB
@@ -194,7 +203,7 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id
             for k in range(0, b.num_rows, 200):
                 part = b.slice(k, 200)
                 lists = _lists(bpe.encode_batch(part.column(1).to_pylist()))
-                columns = [part.column(0), lists, *([_bytes_back(bpe, lists)] if decoded else [])]
+                columns = [part.column(0), lists, *([bpe.decode_batch(lists)] if decoded else [])]
                 yield pa.RecordBatch.from_arrays(columns, names=[id_col, "ids", "decoded"][: len(columns)])
 
     source = docs.select(id_col, text_of(text_col).alias("text"))
@@ -210,7 +219,7 @@ def decode(encoded: DataFrame, vocabulary: str, pattern: str = LOCAL, id_col: st
         for b in batches:
             for k in range(0, b.num_rows, 500):
                 part = b.slice(k, 500)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), _bytes_back(bpe, part.column(1))], names=[id_col, "ids", "decoded"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), bpe.decode_batch(part.column(1))], names=[id_col, "ids", "decoded"])
 
     source = encoded.select(id_col, F.col("ids").cast("array<int>").alias("ids"))
     return arrow_map(source, run, f"`{id_col}` {source.schema[0].dataType.simpleString()}, ids array<int>, decoded binary")

@@ -3,6 +3,7 @@ import random
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 
@@ -40,6 +41,19 @@ def test_random_texts(library):
     assert np.frombuffer(own.encode(long), "<i4").tolist() == library.encode_ordinary(long)
 
 
+def test_decode_of_lists():
+    own = byte_bpe.ByteBPE({**{bytes([b]): b for b in range(256)}, b"ab": 300}, public_tokenizers.PATTERN)
+    lists = pa.array([[1], None, [97, 300, 98], [], [300]], pa.list_(pa.int32()))
+    assert own.decode_batch(lists).to_pylist() == [b"\x01", b"", b"aabb", b"", b"ab"]
+    assert own.decode_batch(lists.slice(2, 3)).to_pylist() == [b"aabb", b"", b"ab"]
+    assert own.decode_batch(lists.slice(1, 1)).to_pylist() == [b""] and own.decode_batch(lists.slice(0, 0)).to_pylist() == []
+    covered = pa.ListArray.from_arrays(pa.array([0, 2, 3], pa.int32()), pa.array([97, 9999, 98], pa.int32()), mask=pa.array([True, False]))
+    assert own.decode_batch(covered).to_pylist() == [b"", b"b"]
+    for wrong in ([[301]], [[-1]], [[299]], [[97, None]], [[None]]):
+        with pytest.raises(ValueError):
+            own.decode_batch(pa.array(wrong, pa.list_(pa.int32())))
+
+
 def test_perfect_hash():
     keys = np.unique(np.random.default_rng(1).integers(0, 1 << 63, 50_000).astype(np.uint64))
     made = mph.PerfectHash(keys)
