@@ -4,6 +4,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from siltstone.operators import aggregates, joins, relational, statistics, windows
+from siltstone.sources.scratch import folder
 
 
 def test_not_in_and_null(spark):
@@ -57,3 +58,32 @@ def test_moving_window(spark):
     df = spark.createDataFrame([(i, float(i)) for i in range(6)], "i int, v double")
     out = df.withColumn("g", F.lit(1)).select("i", windows.moving(F.sum("v"), 2, ["g"], "i").alias("s"))
     assert [r.s for r in out.orderBy("i").collect()] == [0, 1, 3, 6, 9, 12]
+
+
+def test_quantiles_of_a_frequent_value(spark, monkeypatch):
+    """A value that most rows have is counted before it is dealt, so no range holds its rows."""
+    written = []
+    monkeypatch.setattr(aggregates, "folder", lambda s, name: written.append(folder(s, name)) or written[-1], raising=False)
+    df = spark.range(40_000).selectExpr("id % 2 AS g", "IF(id < 36000, 5.5D, CAST(id AS DOUBLE)) AS v")
+    out = aggregates.quantiles(df, ["g"], {"m": (F.col("v"), 0.5, True), "d": (F.col("v"), 0.9, False), "h": (F.col("v"), 0.95, True)})
+    assert sorted(map(tuple, out.collect())) == [(0, 5.5, 5.5, 37998.1), (1, 5.5, 5.5, 37999.1)]
+    assert written and max(spark.read.parquet(p).count() for p in written) == 4002
+
+
+def test_quantile_places_are_exact(spark):
+    """0.07 * 100 is more than 7 in binary; the place is the seventh, as in SQL."""
+    df = spark.range(1, 101).withColumn("v", F.col("id"))
+    got = aggregates.quantiles(df, [], {f"q{k}": (F.col("v"), k / 100, False) for k in (0, 7, 14, 28, 55, 100)}).first().asDict()
+    assert got == {"q0": 1, "q7": 7, "q14": 14, "q28": 28, "q55": 55, "q100": 100}
+
+
+def test_rows_with_groups(spark, monkeypatch):
+    """Beside every row stands its group's, also where the groups aren't broadcast and one holds most rows."""
+    rows = spark.range(3000).selectExpr("IF(id < 2900, NULL, id % 7) AS k", "id AS v")
+    groups = rows.groupBy("k").agg(F.max("v").alias("top")).filter("k IS NULL OR k > 0")
+    for most in (aggregates.GROUPS, 0):
+        monkeypatch.setattr(aggregates, "GROUPS", most)
+        out = aggregates.with_groups(rows, ["k"], groups)
+        got = {r.v: r.top for r in out.collect()}
+        tops = {k: max(i for i in range(2900, 3000) if i % 7 == k) for k in range(1, 7)}
+        assert out.count() == 3000 and got == {i: 2899 if i < 2900 else tops.get(i % 7) for i in range(3000)}

@@ -118,3 +118,14 @@ def test_quantiles_in_ranges(spark, sf, monkeypatch):
             df = plans.run_sql(spark, sf, sql)
         assert "percentile" not in plan_of(df).lower()
         assert_same(df, con.sql(sql))
+
+
+def test_quantiles_by_counted_rows(spark):
+    """Files may be far smaller than what a percentile's state holds, so the estimate of bytes alone doesn't decide."""
+    con = duckdb.connect()
+    spark.range(1_200_000).selectExpr("id % 3 AS k", "id * 7 % 1200000 AS v").createOrReplaceTempView("t")
+    con.sql("CREATE TABLE t AS SELECT range % 3 AS k, range * 7 % 1200000 AS v FROM range(1200000)")
+    for sql in ("SELECT QUANTILE_CONT(v, 0.9) AS a, QUANTILE_DISC(v, 0.25) AS b FROM t", "SELECT K AS k, COUNT(*) AS n, MEDIAN(v) AS m FROM t GROUP BY K"):
+        df = sqlfront.run(spark, sql)
+        assert "percentile" not in plan_of(df).lower()
+        assert_same(df, con.sql(sql))
