@@ -129,3 +129,14 @@ def test_quantiles_by_counted_rows(spark):
         df = sqlfront.run(spark, sql)
         assert "percentile" not in plan_of(df).lower()
         assert_same(df, con.sql(sql))
+
+
+def test_quantile_places(spark, monkeypatch):
+    """0.07 * 100 is more than 7 in binary; both ways take the seventh value."""
+    con = duckdb.connect()
+    spark.range(1, 101).createOrReplaceTempView("t")
+    con.sql("CREATE TABLE t AS SELECT range AS id FROM range(1, 101)")
+    sql = f"SELECT {', '.join(f'QUANTILE_DISC(id, {p}) AS d{k}, QUANTILE_CONT(id, {p}) AS c{k}' for k, p in enumerate([0, 0.07, 0.14, 0.28, 0.55, 0.555, 1]))} FROM t"
+    for most in (sqlfront.PERCENTILE_BYTES, 0):
+        monkeypatch.setattr(sqlfront, "PERCENTILE_BYTES", most)
+        assert_same(sqlfront.run(spark, sql), con.sql(sql))
